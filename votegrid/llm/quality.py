@@ -23,8 +23,12 @@ from votegrid.storage import Scratch
 
 BITS = 18
 #: Rated documents learnt from, about.
-SAMPLE_DOCS = 6_000
-STEPS, RATE, RIDGE = 120, 0.08, 2e-3
+SAMPLE_DOCS = 8_000
+STEPS, RATE, RIDGE = 150, 0.05, 3e-4
+#: A feature is learnt if at least so many rated documents have it.
+LEAST_DOCS = 5
+#: ... and if its share differs between grades by so many standard errors.
+SCREEN = 5.0
 REMEMBERED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(\W)\1{2,}")
@@ -86,6 +90,23 @@ class Model:
         return len(self.thresholds)
 
 
+def screened(index: np.ndarray, grade: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
+    """Features that tell some grades from the others; the rest only add noise to
+    long texts, which have many of them."""
+    size, n = 1 << BITS, len(grades)
+    docs = np.bincount(index, minlength=size).astype(float)
+    keep = np.zeros(size, bool)
+    for k in range(top + 1):
+        own = int((grades == k).sum())
+        if 0 < own < n:
+            here = np.bincount(index[grade == k], minlength=size)
+            # smoothed shares: a feature seen by chance in a few documents has no say
+            share = (docs + 1) / (n + 2)
+            error = np.sqrt(share * (1 - share) * (1 / own + 1 / (n - own)))
+            keep |= np.abs(here / own - (docs - here) / (n - own)) > SCREEN * error
+    return keep & (docs >= LEAST_DOCS)
+
+
 def train(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model:
     """Full-batch Adam on the ordinal likelihood with a ridge penalty."""
     size = 1 << BITS
@@ -94,8 +115,7 @@ def train(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model:
         return Model(weights, [-1e3 + k for k in range(top)])
     counts = np.array([len(r) for r in rows])
     index = np.concatenate(rows).astype(np.int64)
-    often = np.bincount(index, minlength=size) >= 3
-    keep = often[index]
+    keep = screened(index, np.repeat(grades, counts), grades, top)[index]
     owner = np.repeat(np.arange(len(rows)), counts)[keep]
     index, compact = np.unique(index[keep], return_inverse=True)
     n, width = len(rows), len(index)
@@ -114,7 +134,7 @@ def train(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model:
         span = np.maximum(above - below, 1e-9)
         to_up, to_low = above * (1 - above) / span, below * (1 - below) / span
         slope = np.zeros_like(state)
-        slope[:width] = np.bincount(compact, ((to_up - to_low) / n)[owner], width) + RIDGE * w / width**0.5
+        slope[:width] = np.bincount(compact, ((to_up - to_low) / n)[owner], width) + RIDGE * w
         by_cut = np.array([(to_low[grades == k + 1].sum() - to_up[grades == k].sum()) / n for k in range(top)])
         slope[width] = by_cut.sum()
         for k in range(1, top):

@@ -142,6 +142,125 @@ def near_duplicates(
     )
 
 
+# --- similarity beyond a few bits -------------------------------------------------
+#
+# Texts that share 80 % of their five-word shingles differ in about a seventh of
+# their SimHash bits: no ball around 64 bits is wide enough.  So a longer SimHash is
+# cut into 32-bit segments, and each segment is ball-hashed by itself.
+
+#: Segments of 32 bits.  Similar pairs at 0.8 meet in one with chance 0.9, at 0.85
+#: with 0.99, at 0.9 with 0.999 (radius 2, measured bit rates 0.14, 0.11, 0.09).
+SEGMENTS = 14
+#: Standard errors of the bit rate that are allowed beyond the similarity's own.
+SLACK = 1.0
+#: Members of a variant that each member is paired with, in an order that differs
+#: from variant to variant.
+NEIGHBOURS = 3
+
+
+def signature(text: str | None, words: int, seed: int, segments: int) -> list[int]:
+    """SimHash of 32 * ``segments`` bits over distinct shingles; each segment comes
+    as a long with its number in the upper half."""
+    total, ones = 0, np.zeros(32 * segments, np.int64)
+    blocks = list(shingle_hashes(text, words, seed))
+    hashes = np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+    for k in range(0, len(hashes), _BLOCK >> 2):
+        part = hashes[k : k + (_BLOCK >> 2)]
+        lanes = []
+        for lane in range((segments + 1) // 2):  # further hashes by a 64-bit finaliser
+            x = part + np.uint64((lane * 0x9E3779B97F4A7C15) & (2**64 - 1))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            lanes.append(x ^ (x >> np.uint64(31)))
+        wide = np.stack(lanes, axis=1).astype(">u8").view(np.uint8)
+        ones += np.unpackbits(wide, axis=1)[:, : 32 * segments].sum(axis=0, dtype=np.int64)
+        total += len(part)
+    bits = np.packbits(2 * ones > total) if total else np.zeros(4 * segments, np.uint8)
+    return [(k << 32) | int(v) for k, v in enumerate(bits.view(">u4"))]
+
+
+def bit_limit(similarity: float, bits: int) -> int:
+    """Differing bits up to which texts count as similar: sets of equal size and
+    Jaccard similarity s have the cosine 2s / (1 + s)."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: float = 0.8,
+    segments: int = SEGMENTS,
+    seed: int = 42,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """One row per input row: ``doc_id, tag, component_id``; texts link when their
+    signatures say that they share ``similarity`` of their shingles.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as by
+    :func:`near_duplicates`.
+    """
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "similar")
+    python_ready(spark)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(x.as_py(), words, seed, segments) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tag", "segs"]
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = scratch.stage(source.mapInArrow(run, f"doc_id {kind}, tag long, segs array<long>"), "rows")
+    classes = scratch.stage(
+        rows.groupBy("segs").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes"
+    )
+    met = classes.select("cid", F.explode("segs").alias("seg")).select(
+        "cid", F.explode(F.array("seg", *[F.col("seg").bitwiseXOR(F.lit(1 << k)) for k in range(32)])).alias("variant")
+    )
+    order = Window.partitionBy("variant").orderBy(F.xxhash64("cid", "variant"), "cid")
+    chained = met.withColumns({f"n{k}": F.lag("cid", k).over(order) for k in range(1, NEIGHBOURS + 1)}).where("n1 is not null")
+    pairs = (
+        chained.select("cid", F.explode(F.array(*[f"n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("other"))
+        .where("other is not null").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+    )
+    one = classes.select(F.col("cid").alias("c1"), F.col("segs").alias("s1"))
+    two = classes.select(F.col("cid").alias("c2"), F.col("segs").alias("s2"))
+    apart = F.aggregate(
+        F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    verified = (
+        pairs.join(one, F.col("a") == F.col("c1")).join(two, F.col("b") == F.col("c2"))
+        .where(apart <= bit_limit(similarity, 32 * segments)).select("a", "b")
+    )
+    reach = scratch.stage(connected_components(verified, scratch), "reach")
+    joined = scratch.stage(
+        classes.join(reach, F.col("cid") == F.col("node"), "left").select("segs", "least", F.coalesce("root", "cid").alias("root")), "joined"
+    )
+    heads = scratch.stage(joined.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "heads")
+    named = scratch.stage(
+        joined.join(heads, F.col("root") == F.col("r")).select(F.col("segs").alias("csegs"), "component_id"), "named"
+    )
+    return rows.join(named, F.col("segs") == F.col("csegs")).select("doc_id", "tag", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with all its columns, of each group of similar texts the row with
+    the smallest id.  A row is named by id and text; the key table of rows to
+    drop is broadcast only within a counted size."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    groups = similar_groups(docs, id_col, text_col, scratch=scratch, **how)
+    gone = scratch.stage(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tag").distinct(), "gone")
+    named = docs.withColumns({"__vg_id": F.col(id_col), "__vg_tag": F.xxhash64(F.col(text_col))})
+    gone = keyed(gone)
+    left = named.join(gone, null_safe(named, gone, [("__vg_id", "doc_id"), ("__vg_tag", "tag")]), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents``: three-word shingles, at most two differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
