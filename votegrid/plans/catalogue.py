@@ -1,11 +1,331 @@
-"""Query catalogue: one entry for each operator family, with its SQL twin."""
+"""Query catalogue: one query for each operator family, with its SQL twin.
+
+All outputs are integers, texts and booleans, or quotients that both engines
+compute from the same integers.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from votegrid.functions import lanes, moments
+from votegrid.functions.distance import box_bound_squared
+from votegrid.operators import ivf, kmeans, pq, scoring, stats, topk
+from votegrid.plans import catalogue_sql as sql
+from votegrid.plans import fixtures as fx
+from votegrid.plans.config import DIM, IVFTraining, PQTraining, SearchConfig
+from votegrid.plans.planner import Searcher, warm_up_queries
+from votegrid.sources import references as refs_io
+from votegrid.sources import requests as requests_io
+
+K = 5
+#: Two rounds from a strided start: small enough to unroll in SQL.
+SMALL = IVFTraining(clusters=8, iterations=2, plus_plus=False)
+WIDE = IVFTraining(clusters=16, iterations=2, plus_plus=False)
+NPROBE, SHORTLIST = 2, 20
+ADAPTIVE = SearchConfig(nprobe=4, initial_nprobe=1, adaptive_min_votes=2, adaptive_max_votes=3)
+DEPLOYED = SearchConfig.preset("deployed")
+
+
+def _vec(name: str = "vec"):
+    """Lanes as separate integer columns, which compare across engines."""
+    return [F.get(name, F.lit(k)).cast("bigint").alias(f"v{k}") for k in range(DIM)]
+
+
+def _small(spark: SparkSession, d: str, training: IVFTraining = SMALL, version: int = 3) -> ivf.IVFIndex:
+    return ivf.build_ivf(fx.references(spark, d), training, version)
+
+
+def _votes(found: DataFrame) -> DataFrame:
+    return found.groupBy("query_id").agg(F.sum(F.col("label").cast("bigint")).alias("votes"))
+
+
+def iso_parts(spark, d):
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id", *[c.cast("bigint").alias(n) for n, c in moments.parts(text).items()]
+    )
+
+
+def vectorize_quantize(spark, d):
+    r = fx.requests(spark, d)
+    return r.select("request_id", lanes.quantize(lanes.feature_lanes(fx.NORMALIZATION)).alias("vec")).select("request_id", *_vec())
+
+
+def quantize_refs(spark, d):
+    return fx.references(spark, d).select("record_index", F.col("label").cast("bigint").alias("label"), *_vec())
+
+
+def exact_topk(spark, d):
+    return topk.exact_topk(fx.query_vectors(spark, d), fx.references(spark, d), K).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "record_index", "distance"
+    )
+
+
+def fraud_score(spark, d):
+    found = topk.exact_topk(fx.query_vectors(spark, d), fx.references(spark, d), K)
+    return scoring.votes(found).select(
+        "query_id", "votes", (F.col("votes") / F.col("neighbours")).alias("fraud_score"),
+        scoring.approved(F.col("votes") / F.col("neighbours")).alias("approved"),
+    )
+
+
+def response_body(spark, d):
+    found = topk.exact_topk(fx.query_vectors(spark, d), fx.references(spark, d), K)
+    return scoring.votes(found).select("query_id", scoring.response_body(F.col("votes")).alias("body"))
+
+
+def filtered_topk(spark, d):
+    return topk.exact_topk(fx.query_vectors(spark, d), fx.references(spark, d), K, filtered=True).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "record_index", "distance"
+    )
+
+
+def filtered_topk_joined(spark, d):
+    return topk.exact_topk_joined(fx.query_vectors(spark, d), fx.references(spark, d), K, filtered=True).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "record_index", "distance"
+    )
+
+
+def topk_in_candidates(spark, d, filtered=False):
+    q, r = fx.query_vectors(spark, d), fx.references(spark, d)
+    listed = q.select("query_id").join(
+        r.select("record_index"), F.pmod(F.col("query_id") + F.col("record_index"), F.lit(7)) == 0
+    ).select("query_id", "record_index", (-F.col("record_index")).alias("position"))
+    return topk.topk_among(q, r, listed, K, filtered).select("query_id", F.col("rank").cast("bigint").alias("rank"), "record_index", "distance")
+
+
+def category_lookup(spark, d):
+    code = F.lpad(F.col("event_id").cast("string"), 4, "5")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.right(code, F.lit(4)).alias("mcc"))
+    e = e.unionByName(e.select("event_id", F.lit("7995").alias("mcc")))
+    return e.select("event_id", "mcc", lanes.category_risk(F.col("mcc")).alias("risk"), lanes.category_risk_by_number(F.col("mcc").cast("int")).alias("risk_by_number"))
+
+
+def strided_sample(spark, d):
+    r = fx.references(spark, d)
+    n = r.count()
+    at = spark.createDataFrame([(i, p) for i, p in enumerate(kmeans.strided_positions(n, 100))], "sample_no bigint, record_index bigint")
+    return at.join(r, "record_index").select("sample_no", "record_index", *_vec())
+
+
+def _start(spark, d):
+    r = fx.references(spark, d)
+    n = r.count()
+    return r, kmeans.strided_start(kmeans.strided_sample(r, n, n), SMALL.clusters)
+
+
+def assign_cluster(spark, d):
+    r, start = _start(spark, d)
+    return ivf.assign(r, start).select("record_index", F.col("cluster_id").cast("bigint").alias("cluster_id"), "centroid_distance")
+
+
+def lloyd_two_rounds(spark, d):
+    r, start = _start(spark, d)
+    centroids, inertia = kmeans.refine_distributed(r, start, 2)
+    rows = [(c, int(inertia), [int(x) for x in v]) for c, v in enumerate(centroids)]
+    return spark.createDataFrame(rows, "cluster_id bigint, inertia bigint, vec array<smallint>").select("cluster_id", "inertia", *_vec())
+
+
+def cluster_offsets(spark, d):
+    return _small(spark, d).clusters.select(F.col("cluster_id").cast("bigint").alias("cluster_id"), "size", "first_position")
+
+
+def postings(spark, d):
+    return _small(spark, d).members.select("ordered_pos", "record_index", F.col("cluster_id").cast("bigint").alias("cluster_id"))
+
+
+def bounding_boxes(spark, d):
+    sides = [F.get(s, F.lit(k)).cast("bigint").alias(f"{n}{k}") for s, n in (("box_low", "low"), ("box_high", "high")) for k in range(DIM)]
+    return _small(spark, d).clusters.select(F.col("cluster_id").cast("bigint").alias("cluster_id"), *sides)
+
+
+def box_lower_bound(spark, d):
+    c = _small(spark, d).clusters
+    pairs = fx.query_vectors(spark, d).join(c, F.lit(True))
+    return pairs.select("query_id", F.col("cluster_id").cast("bigint").alias("cluster_id"), box_bound_squared(F.col("vec"), F.col("box_low"), F.col("box_high")).alias("bound"))
+
+
+def coarse_probe(spark, d):
+    return ivf.probe(fx.query_vectors(spark, d), _small(spark, d), 3).select(
+        "query_id", F.col("cluster_id").cast("bigint").alias("cluster_id"), F.col("probe_rank").cast("bigint").alias("probe_rank")
+    )
+
+
+def _ivf_votes(spark, d, nprobe, boxes, version=3):
+    q, index = fx.query_vectors(spark, d), _small(spark, d, version=version)
+    return ivf.vote_table(q, ivf.ivf_topk(q, fx.references(spark, d), index, nprobe, K, boxes))
+
+
+def ivf_votes(spark, d):
+    return _ivf_votes(spark, d, NPROBE, False)
+
+
+def ivf_box_votes(spark, d):
+    return _ivf_votes(spark, d, NPROBE, True)
+
+
+def adaptive_votes(spark, d):
+    search = Searcher(fx.references(spark, d), _small(spark, d))
+    return search.votes(fx.query_vectors(spark, d), ADAPTIVE).select("query_id", "votes", "expanded")
+
+
+def deployed_score(spark, d):
+    search = Searcher(fx.references(spark, d), _small(spark, d, WIDE))
+    found = search.votes(fx.query_vectors(spark, d), DEPLOYED)
+    score = F.col("votes") / F.lit(5)
+    return found.select("query_id", "votes", score.alias("fraud_score"), scoring.approved(score).alias("approved"))
+
+
+def postings_votes(spark, d):
+    return _ivf_votes(spark, d, 1, False, version=1)
+
+
+def _codebooks(spark, d) -> np.ndarray:
+    """A given codebook: slices of records spread evenly over the references."""
+    r = fx.references(spark, d)
+    n = r.count()
+    points = pq.padded(kmeans.strided_sample(r, n, n))
+    return np.stack([points[[c * n // 256 for c in range(256)], 4 * s : 4 * s + 4] for s in range(4)])
+
+
+def _coded(spark, d):
+    books = _codebooks(spark, d)
+    return pq.encode(_small(spark, d), books), pq.codebook_table(spark, books)
+
+
+def pq_encode(spark, d):
+    index, _ = _coded(spark, d)
+    return index.members.select("record_index", *[F.get("codes", F.lit(s)).cast("bigint").alias(f"code{s}") for s in range(4)])
+
+
+def adc_shortlist(spark, d):
+    index, books = _coded(spark, d)
+    q = fx.query_vectors(spark, d)
+    found = pq.shortlist(q, ivf.probe(q, index, NPROBE), index, books, 4, SHORTLIST)
+    return found.select("query_id", F.col("adc_rank").cast("bigint").alias("adc_rank"), "record_index", "adc")
+
+
+def ivfpq_votes(spark, d, boxes=False):
+    index, books = _coded(spark, d)
+    q = fx.query_vectors(spark, d)
+    return ivf.vote_table(q, pq.pq_topk(q, fx.references(spark, d), index, books, 4, NPROBE, SHORTLIST, K, boxes))
+
+
+def recall_at_5(spark, d):
+    q, r = fx.query_vectors(spark, d), fx.references(spark, d)
+    index = _small(spark, d)
+    found = ivf.scan(ivf.probe(q, index, NPROBE), index, K)
+    return ivf.recall(found, topk.exact_topk(q, r, K, filtered=True), K)
+
+
+def label_histogram(spark, d):
+    return refs_io.label_histogram(fx.references(spark, d))
+
+
+def phase_stats(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return stats.phase_stats(e.select(F.col("event_type").alias("phase"), F.round(F.col("value") * 1000).cast("bigint").alias("ns")))
+
+
+def request_counters(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return stats.request_counters(e.select(
+        (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 2 == 0).alias("fast_path"),
+        (F.col("event_id") % 7 == 0).alias("used_fallback"), (F.col("event_id") % 3 == 0).alias("expanded"),
+    ))
+
+
+def malformed_requests(spark, d):
+    """Every request answered; the valid ones against the references, exactly."""
+    parsed = requests_io.parse_requests(fx.request_bodies(spark, d).select("request_id", "body"))
+    good = parsed.where("valid").select(F.col("request_id").alias("query_id"), lanes.quantize(lanes.feature_lanes(fx.NORMALIZATION)).alias("vec"))
+    found = topk.exact_topk(good, fx.references(spark, d), K)
+    return scoring.respond(parsed, scoring.score(found))
+
+
+def warm_up(spark, d):
+    r = fx.references(spark, d)
+    centroids = kmeans.train_centroids(r, r.count(), SMALL)
+    queries = warm_up_queries(spark, centroids, 500)
+    return Searcher(r, ivf.index_from_centroids(r, centroids)).votes(queries, DEPLOYED)
+
+
+def plus_plus_ivf(spark, d):
+    training = IVFTraining(clusters=8, iterations=4, restarts=2, full_refine_iterations=1)
+    index = ivf.build_ivf(fx.references(spark, d), training)
+    return index.clusters.select("cluster_id", "size", *_vec("centroid"))
+
+
+def pq_train(spark, d):
+    books = pq.train_codebooks(_small(spark, d), PQTraining(iterations=2))
+    return pq.codebook_table(spark, books)
+
+
+def stream_score(spark, d):
+    """The streaming form of the flagship query over a file source."""
+    from votegrid.streaming.score import score_stream
+
+    schema = spark.read.parquet(f"{d}/embeddings.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    queries = fx._vectors(stream.where("vec_id % 10 = 0")).select(F.col("vec_id").alias("query_id"), "vec")
+    refs = fx.references(spark, d)
+    work = tempfile.mkdtemp(prefix="votegrid-stream-")
+    out = score_stream(queries, lambda q: scoring.votes(topk.exact_topk(q, refs, K)), f"file://{work}/out", f"file://{work}/state")
+    return out.select(
+        "query_id", "votes", (F.col("votes") / F.col("neighbours")).alias("fraud_score"),
+        scoring.approved(F.col("votes") / F.col("neighbours")).alias("approved"),
+    )
+
+
+_CATALOGUE = {
+    "q01_iso_parts": (iso_parts, sql.ISO_PARTS),
+    "q02_vectorize_quantize": (vectorize_quantize, sql.VECTORIZE),
+    "q03_quantize_refs": (quantize_refs, sql.REFS),
+    "q04_exact_topk": (exact_topk, sql.EXACT_TOPK),
+    "q05_fraud_score": (fraud_score, sql.FRAUD_SCORE),
+    "q06_response_body": (response_body, sql.RESPONSE_BODY),
+    "q07_filtered_topk": (filtered_topk, sql.FILTERED_TOPK),
+    "q07_filtered_topk_joined": (filtered_topk_joined, sql.FILTERED_TOPK),
+    "q08_topk_in_candidates": (topk_in_candidates, sql.topk_among(False)),
+    "q08_topk_in_candidates_filtered": (lambda s, d: topk_in_candidates(s, d, True), sql.topk_among(True)),
+    "q09_mcc_lookup": (category_lookup, sql.CATEGORY),
+    "q10_strided_sample": (strided_sample, sql.STRIDED),
+    "q11_assign_cluster": (assign_cluster, sql.ASSIGN),
+    "q12_lloyd_two_iterations": (lloyd_two_rounds, sql.LLOYD),
+    "q13_cluster_offsets": (cluster_offsets, sql.OFFSETS),
+    "q14_postings": (postings, sql.POSTINGS),
+    "q15_bounding_boxes": (bounding_boxes, sql.BOXES),
+    "q16_box_lower_bound": (box_lower_bound, sql.BOX_BOUND),
+    "q17_coarse_probe": (coarse_probe, sql.PROBE),
+    "q18_ivf_votes": (ivf_votes, sql.IVF_VOTES),
+    "q19_ivf_bbox_votes": (ivf_box_votes, sql.IVF_BOX_VOTES),
+    "q20_adaptive_votes": (adaptive_votes, sql.ADAPTIVE),
+    "q21_deployed_score": (deployed_score, sql.DEPLOYED),
+    "q22_postings_votes": (postings_votes, sql.POSTINGS_VOTES),
+    "q23_pq_encode": (pq_encode, sql.PQ_ENCODE),
+    "q24_adc_shortlist": (adc_shortlist, sql.ADC_SHORTLIST),
+    "q25_ivfpq_votes": (ivfpq_votes, sql.pq_votes(False)),
+    "q25_ivfpq_bbox_votes": (lambda s, d: ivfpq_votes(s, d, True), sql.pq_votes(True)),
+    "q26_recall_at_5": (recall_at_5, sql.RECALL),
+    "q27_label_histogram": (label_histogram, sql.HISTOGRAM),
+    "q28_phase_stats": (phase_stats, sql.PHASES),
+    "q28_request_counters": (request_counters, sql.COUNTERS),
+    "q29_malformed_requests": (malformed_requests, sql.MALFORMED),
+    "q30_warmup_workload": (warm_up, None),
+    "q31_kmeanspp_ivf": (plus_plus_ivf, None),
+    "q32_pq_train": (pq_train, None),
+    "q33_stream_score": (stream_score, sql.FRAUD_SCORE),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _CATALOGUE.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for name, (_, text) in _CATALOGUE.items() if text}
