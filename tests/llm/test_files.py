@@ -103,18 +103,19 @@ def test_plan_is_best_fit(histogram):
 def test_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.vocabulary_path())
-    got = np.frombuffer(packing.WordTokens(packing.vocabulary_path())(text), "<u4").tolist()
-    assert got == plain.encode(text, add_special_tokens=False).ids
+    plain = Tokenizer.from_file(packing.byte_vocabulary()[0])
+    want = plain.encode(text, add_special_tokens=False).ids
+    for paths in (packing.byte_vocabulary(), packing.byte_vocabulary()[:1]):
+        assert np.frombuffer(packing.word_tokens(*paths)(text), "<u4").tolist() == want
 
 
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.vocabulary_path())
+    plain = Tokenizer.from_file(packing.byte_vocabulary()[0])
     rng = random.Random(1)
     rows = ODD + [(100 + k, " ".join(rng.choice(["the", "of", "zebra", "xq"]) for _ in range(rng.randint(0, 400))), "en", "a", 0) for k in range(80)]
-    got = packing.pack(table(spark, rows), packing.vocabulary_path()).collect()
+    got = packing.pack(table(spark, rows), packing.byte_vocabulary()).collect()
     want = []
     for r in rows:
         ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -135,7 +136,7 @@ def test_packing_round_trip(spark):
         assert at <= 2048
     total = sum(r.length for r in got)
     assert len(bins) <= -(-total // 2048) + 2
-    assert packing.pack(spark.createDataFrame([], DOCS), packing.vocabulary_path()).count() == 0
+    assert packing.pack(spark.createDataFrame([], DOCS), packing.byte_vocabulary()).count() == 0
 
 
 # --- fingerprints ---------------------------------------------------------------------------

@@ -9,10 +9,13 @@ per task and shifted by a prefix sum, so no length is gathered anywhere.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +41,54 @@ class WordTokens:
 
     The byte-level pre-tokeniser never lets a token run across a space that is
     followed by a non-space, so ids of a text are those of its words in a row.
+    ``ranks_path`` names the same vocabulary as merge ranks; a faster library
+    encodes plain words from it, everything else goes through the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their names in a text are text
+        self._quick = None
+        if ranks_path and pattern:
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self._quick = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _one(self, word: str) -> bytes:
+        # letters up to Latin Extended-B: both libraries class them alike
+        if self._quick is not None and word.replace("\n", "").isprintable() and max(word, default="") < "\u0250":
+            ids = self._quick(word)
+        else:
+            ids = self._tokenizer.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
         first, *words = text.split(" ")
-        try:
-            rest = b"".join([self._known[w] for w in words])
-        except KeyError:
-            if any(not w or w[0].isspace() for w in words):
+        get = self._known.get
+        parts = [get(w) for w in words]
+        if None in parts:
+            new = {w for w, p in zip(words, parts, strict=True) if p is None}
+            if any(not w or w[0].isspace() for w in new):  # runs of white space
                 first, *words = _CUT.split(text)
-            new = [w for w in dict.fromkeys(words) if w not in self._known]
-            fresh = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
-            known = self._known
-            rest = b"".join([fresh[w] if w in fresh else known[w] for w in words])
-            if len(known) < CACHED_WORDS:
-                known.update(fresh)
-        return self._encode([first])[0] + rest
+                parts = [get(w) for w in words]
+                new = {w for w, p in zip(words, parts, strict=True) if p is None}
+            fresh = {w: self._one(" " + w) for w in new}
+            if len(self._known) < CACHED_WORDS:
+                self._known.update(fresh)
+            parts = [fresh[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+        return self._one(first) + b"".join(parts)
+
+
+@lru_cache(maxsize=1)
+def word_tokens(*paths: str | None) -> WordTokens:
+    """One per worker process: its memory of words serves all tasks of the worker."""
+    return WordTokens(*paths)
 
 
 def cut_points(length: int, capacity: int) -> list[int]:
@@ -76,14 +97,14 @@ def cut_points(length: int, capacity: int) -> list[int]:
     return [0, *range(head, length, capacity), length] if length > capacity else [0, length]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: tuple[str | None, ...], capacity: int, id_col: str, text_col: str, end_id: int = 0) -> DataFrame:
     """Token pieces of every document, numbered per task and length."""
     python_ready(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = WordTokens(tokenizer_path), np.zeros(capacity + 1, np.int64).tolist()
+        tokens, seen = word_tokens(*vocabulary), np.zeros(capacity + 1, np.int64).tolist()
         task = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
@@ -134,14 +155,15 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 def pack(
     docs: DataFrame,
-    tokenizer_path: str,
+    vocabulary: tuple[str | None, ...],
     capacity: int = CAPACITY,
     id_col: str = "doc_id",
     text_col: str = "text",
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset``.  Every document ends with id 0.
+    offset``.  Every document ends with id 0.  ``vocabulary`` has the tokenizer's
+    path, and optionally the path of its merge ranks and its splitting pattern.
 
     * Null text counts as empty: one piece holding the end id alone.
     * Null ids are carried along; repeated rows are packed as often as they occur.
@@ -150,7 +172,7 @@ def pack(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    cut = scratch.stage(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
+    cut = scratch.stage(pieces(docs, vocabulary, capacity, id_col, text_col), "pieces")
     counts = scratch.stage(cut.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     # at most ``capacity`` rows, whatever the input
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -178,13 +200,13 @@ def pack(
     )
 
 
-def vocabulary_path() -> str:
+def byte_vocabulary() -> tuple[str, str, str]:
     """Where the byte-level vocabulary lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 2048 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_vocabulary())
