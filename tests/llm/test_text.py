@@ -36,9 +36,12 @@ def test_backoff_by_definition():
     empty = langid.Table({}, np.zeros((0, 2), np.float32))
     grams = langid._table([("au", {"de": 5})], {"de": 5, "en": 5}, ["de", "en"])
     model = langid.Model(["de", "en"], np.log([0.5, 0.5]), [words, empty, empty, empty, grams, empty])
-    assert model.predict(langid.word_counts("Haus"), {})[0] == "de"
-    assert model.predict(langid.word_counts("laut"), {})[0] == "de"  # known by a pair of letters only
-    assert model.predict(langid.word_counts("xyz"), {}) == ("de", 0.5)  # nothing known: the first of equals
+    one = lambda text: model.predict([langid.word_counts(text)])[0]
+    assert one("Haus")[0] == "de"
+    assert one("laut")[0] == "de"  # known by a pair of letters only
+    assert one("xyz") == ("de", 0.5)  # nothing known: the first of equals
+    texts = ["Haus xyz laut", "", "laut laut"]
+    assert model.predict([langid.word_counts(t) for t in texts]) == [one(t) for t in texts]
     assert langid.grams("ab", 3) == ["^ab", "ab$"] and langid.grams("ab", 1) == ["a", "b"]
 
 

@@ -32,8 +32,6 @@ GRAMS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: A level of backoff counts a little less than the one above it.
 BACKOFF = 0.7
-#: Scores of unseen words that one worker remembers.
-REMEMBERED = 200_000
 UNKNOWN = "und"
 
 
@@ -66,44 +64,63 @@ class Model:
     prior: np.ndarray
     levels: list[Table]
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """Score of an unseen word: its longest n-grams that are known."""
-        weight = 1.0
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words, a row each: their longest n-grams that are known.
+
+        Words go level by level together, so that a level costs one sum."""
+        scores = np.zeros((len(words), len(self.languages)), np.float32)
+        left, weight = list(range(len(words))), 1.0
         for n, table in zip(GRAMS, self.levels[1:], strict=True):
             weight *= BACKOFF
-            known = [table.index[g] for g in grams(word, n) if g in table.index]
-            if known:
-                return weight * table.scores[known].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, counts: Counter, remembered: dict[str, np.ndarray]) -> tuple[str, float]:
-        """Language and its share of belief; no letters: (``und``, 0)."""
-        if not counts or not self.languages:
-            return UNKNOWN, 0.0
+            rows, starts, found, rest = [], [], [], []
+            index = table.index
+            for k in left:
+                known = [index[g] for g in grams(words[k], n) if g in index]
+                if known:
+                    starts.append(len(rows))
+                    rows += known
+                    found.append(k)
+                else:
+                    rest.append(k)
+            if found:
+                sums = np.add.reduceat(table.scores[rows], starts, axis=0)
+                sizes = np.diff([*starts, len(rows)])
+                scores[found] = weight * sums / sizes[:, None]
+            left = rest
+            if not left:
+                break
+        return scores
+
+    def predict(self, texts: list[Counter]) -> list[tuple[str, float]]:
+        """Language and its share of belief for each text's word counts; no letters:
+        (``und``, 0)."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         words = self.levels[0]
-        known = [(words.index[w], n) for w, n in counts.items() if w in words.index]
-        total, seen = np.zeros(len(self.languages)), sum(counts.values())
-        if known:
-            rows, times = zip(*known, strict=True)
-            total = np.array(times, float) @ words.scores[list(rows)]
-        for word in [w for w in counts if w not in words.index] if len(known) < len(counts) else ():
-            score = remembered.get(word)
-            if score is None:
-                score = self.backed_off(word)
-                if len(remembered) < REMEMBERED:
-                    remembered[word] = score
-            total = total + counts[word] * score
-        # words of one text depend on each other: at most 50 count as independent
-        belief = self.prior + total / seen * min(seen, 50)
-        belief = np.exp(belief - belief.max())
-        best = int(belief.argmax())
-        return self.languages[best], float(belief[best] / belief.sum())
+        unseen = list(dict.fromkeys(w for counts in texts for w in counts if w not in words.index))
+        row = {w: len(words.index) + k for k, w in enumerate(unseen)}
+        scores = np.concatenate([words.scores, self.backed_off(unseen)]) if unseen else words.scores
+        known, out = words.index, []
+        for counts in texts:
+            if not counts:
+                out.append((UNKNOWN, 0.0))
+                continue
+            at = [known[w] if w in known else row[w] for w in counts]
+            times = np.fromiter(counts.values(), np.float64, len(counts))
+            seen = float(times.sum())
+            # words of one text depend on each other: at most 50 count as independent
+            belief = self.prior + times @ scores[at] / seen * min(seen, 50.0)
+            belief = np.exp(belief - belief.max())
+            best = int(belief.argmax())
+            out.append((self.languages[best], float(belief[best] / belief.sum())))
+        return out
 
 
 def _table(rows: list[tuple[str, dict[str, int]]], totals: dict[str, int], languages: list[str]) -> Table:
     counts = np.array([[by.get(x, 0) for x in languages] for _, by in rows], dtype=float).reshape(-1, len(languages))
-    whole = np.array([totals.get(x, 0) for x in languages]) + SMOOTHING * max(1, len(rows))
-    scores = np.log(counts + SMOOTHING) - np.log(whole)
+    whole = np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
+    # one floor for all languages: not to have seen a word says least where little was seen
+    scores = np.log(counts / whole + SMOOTHING / whole.max())
     scores -= scores.mean(axis=1, keepdims=True)
     return Table({key: k for k, (key, _) in enumerate(rows)}, scores.astype(np.float32))
 
@@ -190,9 +207,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(model)  # bounded by max_words and max_grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict = {}
         for batch in batches:
-            found = [shared.value.predict(word_counts(x.as_py()), remembered) for x in batch.column(1)]
+            found = shared.value.predict([word_counts(x.as_py()) for x in batch.column(1)])
             langs, scores = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
