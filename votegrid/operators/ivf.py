@@ -20,7 +20,7 @@ from votegrid.operators import kmeans
 from votegrid.operators.scoring import votes
 from votegrid.operators.topk import _matrix, exact_topk, flags_equal, keep_top
 from votegrid.plans.config import DIM, IVFTraining, SearchConfig
-from votegrid.storage import Scratch
+from votegrid.storage import Scratch, reachable
 
 VEC = "array<smallint>"
 #: What each version of the on-disk index could do.
@@ -59,6 +59,7 @@ def assign(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
                 ["record_index", "label", "vec", "cluster_id", "centroid_distance"],
             )
 
+    reachable(refs.sparkSession)
     schema = f"record_index bigint, label tinyint, vec {VEC}, cluster_id int, centroid_distance bigint"
     return refs.select("record_index", F.col("label").cast("tinyint").alias("label"), "vec").mapInArrow(run, schema)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from votegrid.functions.distance import l2_matrix_fast
 from votegrid.operators.topk import MATRIX_CELLS, _matrix
 from votegrid.plans.config import DIM, IVFTraining
+from votegrid.storage import reachable
 
 _WORD = (1 << 64) - 1
 #: Fixed value: the step of the generator, also between the seeds of restarts.
@@ -114,6 +115,7 @@ def refine_local(centroids: np.ndarray, points: np.ndarray, iterations: int) ->
 
 def refine_distributed(refs: DataFrame, centroids: np.ndarray, iterations: int) -> tuple[np.ndarray, int]:
     """The same over all records: tasks send a row of sums per cluster they met."""
+    reachable(refs.sparkSession)
     inertia = np.iinfo(np.int64).max
     for _ in range(iterations):
         def partial(batches: Iterator[pa.RecordBatch], centroids=centroids) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ those are shuffled.  The references are scanned once per block and never moved.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from votegrid.functions.distance import l2_matrix_fast, l2_squared, lane
 from votegrid.plans.config import DIM, FLAG_LANES
+from votegrid.storage import Scratch, reachable
 
 #: Queries sent out at a time; each is DIM 16-bit values and an id.
 QUERY_BLOCK = 20_000
@@ -102,25 +104,26 @@ def exact_topk(queries: DataFrame, refs: DataFrame, k: int, filtered: bool = Fal
     """``query_id, record_index, label, distance, rank`` of each query's k nearest
     references (fewer if there are fewer); ``filtered`` requires equal flag lanes.
 
-    The queries pass through the driver block by block; their number times the
-    scan of the references is the cost of exact search, whatever the plan.
+    Queries go out in blocks of at most about ``block``; every block scans the
+    references once, and no more than one block is on the driver.
     """
-    rows = queries.select("query_id", "vec").toLocalIterator(prefetchPartitions=True)
+    spark = refs.sparkSession
+    reachable(spark)
     scan = refs.select("record_index", "label", "vec")
-    found, chunk = None, []
-
-    def search(chunk: list) -> DataFrame:
-        ids = np.array([r.query_id for r in chunk], dtype=np.int64)
-        points = np.array([r.vec for r in chunk], dtype=np.int16).reshape(-1, DIM)
-        return scan.mapInArrow(_scan(ids, points, k, filtered), _FOUND)
-
-    for row in rows:
-        chunk.append(row)
-        if len(chunk) == block:
-            found, chunk = search(chunk) if found is None else found.unionAll(search(chunk)), []
-    if chunk or found is None:
-        found = search(chunk) if found is None else found.unionAll(search(chunk))
-    return keep_top(found, k, "record_index")
+
+    def search(table: pa.Table) -> DataFrame:
+        points = _matrix(table.column("vec").combine_chunks()) if table.num_rows else np.zeros((0, DIM), np.int16)
+        return scan.mapInArrow(_scan(table.column("query_id").to_numpy(), points, k, filtered), _FOUND)
+
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<smallint>").alias("vec"))
+    table = asked.limit(block + 1).toArrow()
+    if table.num_rows <= block:
+        return keep_top(search(table), k, "record_index")
+    staged = Scratch(spark, "queries").stage(asked, "asked")
+    parts = -(-2 * staged.count() // block)  # hashing fills blocks unevenly: aim at half
+    number = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    found = [keep_top(search(staged.where(number == p).toArrow()), k, "record_index") for p in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def exact_topk_joined(queries: DataFrame, refs: DataFrame, k: int, filtered: bool = False) -> DataFrame:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +73,16 @@ def purge() -> None:
 atexit.register(purge)
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers that share this machine find the package, wherever the
+    driver was started.  Elsewhere ship it with ``--py-files`` or install it."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` (a staged table) has at most ``rows`` rows: the size check
     that every explicit broadcast in this library passes first."""
