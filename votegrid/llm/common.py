@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import string
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votegrid.storage import within
+from votegrid.storage import reachable, within
 
 #: Rows of a key table up to which it may be broadcast (about 64 bytes a row).
 BROADCAST_ROWS = 500_000
@@ -20,14 +18,9 @@ ARROW_BATCH_BYTES = 8 << 20
 
 def python_ready(spark: SparkSession) -> None:
     """Before a Python stage: bound Arrow batches by bytes (10,000 very long texts
-    would not fit), and let workers that share this machine find the package.
-    Elsewhere ship it with ``--py-files`` or install it."""
+    would not fit), and let workers find the package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    environment = spark.sparkContext.environment
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    reachable(spark)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -13,7 +13,7 @@ _QUERIES = {
     "op3_html_text": (html_text.query, None),
     "op4_simhash_near_dedup": (simhash.query, None),
     "op5_mixing": (mixing.query, None),
-    "op6_warc": (warc.query, None),
+    "op6_warc": (warc.query, warc.SQL),
     "op7_secret_scan": (secrets.query, None),
     "op8_quality": (quality.query, None),
     "op9_packing": (packing.query, None),

@@ -279,4 +279,23 @@ def archive_pages(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per row of ``pages``, written and read back."""
-    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    found = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32_sql(digest: str) -> str:
+    """Five hexadecimal digits are four characters of base 32."""
+    parts = []
+    for k in range(8):
+        value = f"CAST('0x' || substr({digest}, {5 * k + 1}, 5) AS BIGINT)"
+        parts += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({value} >> {shift}) & 31 AS INTEGER) + 1, 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(parts)
+
+
+SQL = f"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS s FROM pages),
+g AS (SELECT s, max(page_id) AS keep FROM d GROUP BY s)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_base32_sql('d.s')} AS payload_digest,
+       CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM d JOIN g ON g.s = d.s
+"""
