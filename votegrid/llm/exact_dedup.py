@@ -131,8 +131,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("kept").cast("int")).alias("stays")),
         "per_key",
     )
-    named = docs.withColumns({"__vg_id": F.col(id_col), "__vg_sha": F.sha2(ascii_lower(F.col(text_col)), 256)})
-    pairs = [("__vg_id", "doc_id"), ("__vg_sha", "text_sha256")]
+    named = docs.withColumns({"vg_id": F.col(id_col), "vg_sha": F.sha2(ascii_lower(F.col(text_col)), 256)})
+    pairs = [("vg_id", "doc_id"), ("vg_sha", "text_sha256")]
     gone = per_key.where("stays = 0 or rows > 1").select(*keys)
     gone = keyed(gone)
     out = named.join(gone, null_safe(named, gone, pairs), "left_anti")
@@ -140,7 +140,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not again.isEmpty():  # repeated rows: one of each
         again = keyed(again)
         same = named.join(again, null_safe(named, again, pairs), "left_semi")
-        out = out.unionByName(same.dropDuplicates(["__vg_id", "__vg_sha"]))
+        out = out.unionByName(same.dropDuplicates(["vg_id", "vg_sha"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

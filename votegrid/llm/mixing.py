@@ -103,8 +103,8 @@ def mix(
     text_col: str = "text",
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """``docs`` with ``__vg_source, __vg_lang, __vg_topic, __vg_tokens,
-    __vg_weight, __vg_p, __vg_selected`` added; no row is dropped here.
+    """``docs`` with ``vg_source, vg_lang, vg_topic, vg_tokens,
+    vg_weight, vg_p, vg_selected`` added; no row is dropped here.
 
     ``targets`` gives shares per axis (``source``, ``lang``, ``topic``); an axis
     left out gets its own shares of tokens to the power ``temper``.
@@ -120,13 +120,13 @@ def mix(
     tokens = n_tokens(F.col(text_col))
     topic = form_topic(F.col(text_col), tokens) if topic is None else topic
     named = docs.withColumns({
-        "__vg_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "__vg_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "__vg_topic": F.coalesce(topic.cast("string"), F.lit("")),
-        "__vg_tokens": tokens,
+        "vg_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "vg_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
+        "vg_topic": F.coalesce(topic.cast("string"), F.lit("")),
+        "vg_tokens": tokens,
     })
     raw = scratch.stage(
-        named.groupBy(*[F.col(f"__vg_{a}").alias(a) for a in AXES]).agg(F.sum("__vg_tokens").alias("tokens")), "raw"
+        named.groupBy(*[F.col(f"vg_{a}").alias(a) for a in AXES]).agg(F.sum("vg_tokens").alias("tokens")), "raw"
     )
     kept: dict[str, list[str]] = {}
     for axis in AXES:
@@ -147,18 +147,18 @@ def mix(
     cells = cells.withColumn("factor", factor)
     rate = draw_rate(cells, draw)
     table = scratch.stage(
-        cells.select(*[F.col(a).alias(f"c_{a}") for a in AXES], F.col("factor").alias("weight"),
-                     F.least(F.lit(1.0), F.col("factor") * rate).alias("p")).coalesce(1),
+        cells.select(*[F.col(a).alias(f"vg_c_{a}") for a in AXES], F.col("factor").alias("vg_c_weight"),
+                     F.least(F.lit(1.0), F.col("factor") * rate).alias("vg_c_p")).coalesce(1),
         "table",
     )
-    at = [F.when(F.col(f"__vg_{a}").isin(kept[a]), F.col(f"__vg_{a}")).otherwise(OTHER) == F.col(f"c_{a}") for a in AXES]
+    at = [F.when(F.col(f"vg_{a}").isin(kept[a]), F.col(f"vg_{a}")).otherwise(OTHER) == F.col(f"vg_c_{a}") for a in AXES]
     spot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10)
     out = named.join(keyed(table), at, "left").withColumns({
-        "__vg_weight": F.coalesce("weight", F.lit(0.0)),
-        "__vg_p": F.when(F.col("__vg_tokens") == 0, 1.0).otherwise(F.coalesce("p", F.lit(0.0))),
+        "vg_weight": F.coalesce("vg_c_weight", F.lit(0.0)),
+        "vg_p": F.when(F.col("vg_tokens") == 0, 1.0).otherwise(F.coalesce("vg_c_p", F.lit(0.0))),
     })
-    return out.withColumn("__vg_selected", spot.cast("double") / float(1 << 48) < F.col("__vg_p")).select(
-        *[F.col(f"`{c}`") for c in named.columns], "__vg_weight", "__vg_p", "__vg_selected"
+    return out.withColumn("vg_selected", spot.cast("double") / float(1 << 48) < F.col("vg_p")).select(
+        *[F.col(f"`{c}`") for c in named.columns], "vg_weight", "vg_p", "vg_selected"
     )
 
 
@@ -167,6 +167,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     mixed = mix(docs)
     return mixed.select(
-        "doc_id", *[F.col(f"__vg_{a}").alias(a) for a in AXES], F.col("__vg_tokens").alias("n_tokens"),
-        F.col("__vg_weight").alias("weight"), F.col("__vg_p").alias("probability"), F.col("__vg_selected").alias("selected"),
+        "doc_id", *[F.col(f"vg_{a}").alias(a) for a in AXES], F.col("vg_tokens").alias("n_tokens"),
+        F.col("vg_weight").alias("weight"), F.col("vg_p").alias("probability"), F.col("vg_selected").alias("selected"),
     )

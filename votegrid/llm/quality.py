@@ -214,7 +214,7 @@ def expected(model: Model, linear: Column) -> Column:
 
 
 def rate(docs: DataFrame, model: Model, text_col: str = "text", accept: int = 2, least: float = 0.5) -> DataFrame:
-    """``docs`` with ``__vg_grade``, ``__vg_tail`` and ``__vg_accept`` added.
+    """``docs`` with ``vg_grade``, ``vg_tail`` and ``vg_accept`` added.
 
     A row is accepted if P(rating >= ``accept``) is at least ``least``.  Null texts
     count as empty; a text without known features gets the score 0; rows are
@@ -222,10 +222,10 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text", accept: int = 2,
     pass; an empty table stays empty.  A model fitted without any rating accepts
     everything.
     """
-    rated = docs.withColumn("__vg_score", score(model, F.col(text_col), docs.sparkSession))
-    linear = F.col("__vg_score")
-    return rated.withColumns({"__vg_grade": expected(model, linear), "__vg_tail": tail(model, linear, accept)}).withColumn(
-        "__vg_accept", F.col("__vg_tail") >= least
+    rated = docs.withColumn("vg_score", score(model, F.col(text_col), docs.sparkSession))
+    linear = F.col("vg_score")
+    return rated.withColumns({"vg_grade": expected(model, linear), "vg_tail": tail(model, linear, accept)}).withColumn(
+        "vg_accept", F.col("vg_tail") >= least
     )
 
 
@@ -242,5 +242,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rating_grade(), top=2)
     rated = rate(docs, model)
     return rated.select(
-        "doc_id", F.col("__vg_grade").alias("expected_grade"), F.col("__vg_tail").alias("p_good"), F.col("__vg_accept").alias("accepted")
+        "doc_id", F.col("vg_grade").alias("expected_grade"), F.col("vg_tail").alias("p_good"), F.col("vg_accept").alias("accepted")
     )

@@ -255,9 +255,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "similar")
     groups = similar_groups(docs, id_col, text_col, scratch=scratch, **how)
     gone = scratch.stage(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tag").distinct(), "gone")
-    named = docs.withColumns({"__vg_id": F.col(id_col), "__vg_tag": F.xxhash64(F.col(text_col))})
+    named = docs.withColumns({"vg_id": F.col(id_col), "vg_tag": F.xxhash64(F.col(text_col))})
     gone = keyed(gone)
-    left = named.join(gone, null_safe(named, gone, [("__vg_id", "doc_id"), ("__vg_tag", "tag")]), "left_anti")
+    left = named.join(gone, null_safe(named, gone, [("vg_id", "doc_id"), ("vg_tag", "tag")]), "left_anti")
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
