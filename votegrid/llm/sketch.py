@@ -111,9 +111,9 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str, buckets: int) ->
     }
     if found.known < found.n:  # nulls come first
         heads[0] = None
-    first = F.col("doc_id").isin([h for h in heads.values() if h is not None])
+    first = F.coalesce(F.col("doc_id").isin([h for h in heads.values() if h is not None]), F.lit(False))
     if found.known < found.n:
-        first = F.coalesce(first, F.lit(True))
+        first = first | F.col("doc_id").isNull()
     ending = F.when(F.col("bucket") == 0, len(bounds) - 1).otherwise(F.col("bucket") - 1)
     here = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("closing"))
     there = F.struct(ending.alias("at"), F.lit(1).alias("closing"))
