@@ -153,9 +153,6 @@ def near_duplicates(
 SEGMENTS = 14
 #: Standard errors of the bit rate that are allowed beyond the similarity's own.
 SLACK = 1.0
-#: Members of a variant that each member is paired with, in an order that differs
-#: from variant to variant.
-NEIGHBOURS = 3
 
 
 def signature(text: str | None, words: int, seed: int, segments: int) -> list[int]:
@@ -199,6 +196,11 @@ def similar_groups(
     """One row per input row: ``doc_id, tag, component_id``; texts link when their
     signatures say that they share ``similarity`` of their shingles.
 
+    Copies of one text are nearer to it than to each other, so every member of a
+    variant is paired with the one whose own segment the variant is, where there
+    is one; and with the member before it.  The order is the same everywhere, so
+    variants that hold the same members repeat the same pairs, which are dropped.
+
     Nulls, empty texts, repeated rows and empty tables are treated as by
     :func:`near_duplicates`.
     """
@@ -219,14 +221,20 @@ def similar_groups(
     classes = scratch.stage(
         rows.groupBy("segs").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
+    # a member is the class number and, as its last bit, whether the variant is not its own segment
     met = classes.select("cid", F.explode("segs").alias("seg")).select(
-        "cid", F.explode(F.array("seg", *[F.col("seg").bitwiseXOR(F.lit(1 << k)) for k in range(32)])).alias("variant")
-    )
-    order = Window.partitionBy("variant").orderBy(F.xxhash64("cid", "variant"), "cid")
-    chained = met.withColumns({f"n{k}": F.lag("cid", k).over(order) for k in range(1, NEIGHBOURS + 1)}).where("n1 is not null")
+        "cid", F.posexplode(F.array("seg", *[F.col("seg").bitwiseXOR(F.lit(1 << k)) for k in range(32)])).alias("bit", "variant")
+    ).select("variant", (F.col("cid") * 2 + F.when(F.col("bit") == 0, 0).otherwise(1)).alias("member"))
+    order = Window.partitionBy("variant").orderBy(F.col("member") % 2, "member")
+    first = F.first("member").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chained = met.withColumns({"first": first, "last": F.lag("member").over(order)}).where("last is not null")
     pairs = (
-        chained.select("cid", F.explode(F.array(*[f"n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("other"))
-        .where("other is not null").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+        chained.select(
+            F.shiftright("member", 1).alias("cid"),
+            F.explode(F.array(F.col("last"), F.when(F.col("first") % 2 == 0, F.col("first")))).alias("met"),
+        )
+        .where("met is not null").withColumn("other", F.shiftright("met", 1))
+        .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
     )
     one = classes.select(F.col("cid").alias("c1"), F.col("segs").alias("s1"))
     two = classes.select(F.col("cid").alias("c2"), F.col("segs").alias("s2"))
