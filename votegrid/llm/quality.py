@@ -27,8 +27,8 @@ SAMPLE_DOCS = 8_000
 STEPS, RATE, RIDGE = 150, 0.05, 3e-4
 #: A feature is learnt if at least so many rated documents have it.
 LEAST_DOCS = 5
-#: ... and if its share differs between grades by so many standard errors.
-SCREEN = 5.0
+#: ... and if its share in a grade below the top is higher by so many standard errors.
+SCREEN = 4.5
 REMEMBERED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(\W)\1{2,}")
@@ -91,19 +91,20 @@ class Model:
 
 
 def screened(index: np.ndarray, grade: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
-    """Features that tell some grades from the others; the rest only add noise to
-    long texts, which have many of them."""
+    """Features that mark a grade below the top; the rest only add noise to long
+    texts, which have many of them.  A text without any mark is rated by the
+    thresholds alone, so with few ratings to learn from it is not turned down."""
     size, n = 1 << BITS, len(grades)
     docs = np.bincount(index, minlength=size).astype(float)
     keep = np.zeros(size, bool)
-    for k in range(top + 1):
+    for k in range(top):
         own = int((grades == k).sum())
         if 0 < own < n:
             here = np.bincount(index[grade == k], minlength=size)
             # smoothed shares: a feature seen by chance in a few documents has no say
             share = (docs + 1) / (n + 2)
             error = np.sqrt(share * (1 - share) * (1 / own + 1 / (n - own)))
-            keep |= np.abs(here / own - (docs - here) / (n - own)) > SCREEN * error
+            keep |= here / own - (docs - here) / (n - own) > SCREEN * error
     return keep & (docs >= LEAST_DOCS)
 
 
