@@ -123,11 +123,11 @@ def test_quality_without_ratings(spark):
 
 
 def test_ordinal_training(monkeypatch):
-    """Grades that a few features add up to are recovered; tails are ordered."""
+    """Grades that marks of poor texts bring down are recovered; tails are ordered."""
     monkeypatch.setattr(quality, "SCREEN", 0.0)
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(300)]
-    grades = np.array([min(2, int(sum(r < 8))) for r in rows])
+    grades = np.array([max(0, 3 - int(sum(r < 8))) for r in rows]).clip(max=2)
     model = quality.train(rows, grades, 2)
     score = np.array([model.weights[r].sum() for r in rows])
     tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
