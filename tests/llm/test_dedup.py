@@ -1,6 +1,7 @@
 """Exact and near deduplication against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -122,3 +123,56 @@ def test_similar_texts_are_thinned(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 50, 51, 52, 53, 54, 55]
     assert simhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     assert simhash.drop_near_duplicates(table(spark, ODD)).count() > 0
+
+
+def shingle_sets(rows):
+    found = {}
+    for r in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", norm(r[1]))
+        found[r[0]] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return found
+
+
+def slow_groups(rows, least=0.8):
+    """Smallest id of each text's component under the exact Jaccard similarity."""
+    sets = shingle_sets(rows)
+    label = {i: i for i in sets}
+    order = sorted(sets)
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            x, y = sets[a], sets[b]
+            both = len(x & y)
+            if x == y or (both and both / (len(x) + len(y) - both) >= least):
+                one, two = sorted((root(a), root(b)))
+                label[two] = one
+    return {i: root(i) for i in order}
+
+
+def families(count, size, shared, own, seed=3):
+    """Texts in families with a passage of ``shared`` words in common, of which pairs
+    are near copies of each other."""
+    draw = random.Random(seed)
+    rows = []
+    for f in range(count):
+        passage = [f"p{f}x{i}" for i in range(shared)]
+        for k in range(size):
+            text = passage + [f"f{f}k{k}x{i}" for i in range(own)]
+            copy = list(text)
+            for at in draw.sample(range(len(text)), k=draw.randint(1, 4)):
+                copy[at] = f"c{f}k{k}x{at}"
+            rows += [(len(rows) + j, " ".join(t), "en", "a", 0) for j, t in enumerate((text, copy))]
+    return rows
+
+
+def test_texts_below_the_similarity_stay_apart(spark):
+    """Texts that share a long passage (0.67 to each other) are not near copies."""
+    rows = families(count=2, size=40, shared=160, own=40)
+    want = slow_groups(rows)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(table(spark, rows)).collect()}
+    assert all(want[i] == want[g] for i, g in found.items())

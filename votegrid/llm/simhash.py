@@ -151,16 +151,25 @@ def near_duplicates(
 #: Segments of 32 bits.  Similar pairs at 0.8 meet in one with chance 0.9, at 0.85
 #: with 0.99, at 0.9 with 0.999 (radius 2, measured bit rates 0.14, 0.11, 0.09).
 SEGMENTS = 14
-#: Standard errors of the bit rate that are allowed beyond the similarity's own.
-SLACK = 1.0
+#: Standard errors of the bit rate that a candidate may lie beyond the similarity's own.
+SLACK = 4.0
 
 
-def signature(text: str | None, words: int, seed: int, segments: int) -> list[int]:
+def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order."""
+    blocks = list(shingle_hashes(text, words, seed))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """64 bits, as a signed long, that name a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def signature(hashes: np.ndarray, segments: int) -> list[int]:
     """SimHash of 32 * ``segments`` bits over distinct shingles; each segment comes
     as a long with its number in the upper half."""
     total, ones = 0, np.zeros(32 * segments, np.int64)
-    blocks = list(shingle_hashes(text, words, seed))
-    hashes = np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
     for k in range(0, len(hashes), _BLOCK >> 2):
         part = hashes[k : k + (_BLOCK >> 2)]
         lanes = []
@@ -177,12 +186,41 @@ def signature(text: str | None, words: int, seed: int, segments: int) -> list[in
 
 
 def bit_limit(similarity: float, bits: int) -> int:
-    """Differing bits up to which texts count as similar: sets of equal size and
+    """Differing bits up to which texts are candidates: sets of equal size and
     Jaccard similarity s have the cosine 2s / (1 + s)."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
 
 
+def similar_pairs(
+    pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, similarity: float, seed: int, scratch: Scratch, name: str
+) -> DataFrame:
+    """Those of ``pairs(a, b)`` of set names whose sets have the Jaccard similarity.
+
+    Sets are made again from the texts, for classes that are in a pair only.
+    """
+    pairs = scratch.stage(pairs, f"{name}_pairs")
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    tags = classes.join(ends, F.col("cid") == F.col("end"), "left_semi").select(F.col("least_tag")).distinct()
+    tags = keyed(scratch.stage(tags, f"{name}_tags"))
+    texts = source.join(tags, F.col("tag") == F.col("least_tag"), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py(), words, seed) for x in batch.column(0)]
+            sets = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_name, found), pa.int64()), sets], ["cid", "items"])
+
+    sets = scratch.stage(texts.mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"]), f"{name}_sets")
+    one = sets.select(F.col("cid").alias("c1"), F.col("items").alias("s1"))
+    two = sets.select(F.col("cid").alias("c2"), F.col("items").alias("s2"))
+    both = F.size(F.array_intersect("s1", "s2"))
+    return (
+        pairs.join(one, F.col("a") == F.col("c1")).join(two, F.col("b") == F.col("c2"))
+        .where(both / (F.size("s1") + F.size("s2") - both) >= similarity).select("a", "b")
+    )
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -194,7 +232,7 @@ def similar_groups(
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, tag, component_id``; texts link when their
-    signatures say that they share ``similarity`` of their shingles.
+    shingle sets have the Jaccard similarity ``similarity``, exactly.
 
     Copies of one text are nearer to it than to each other, so every member of a
     variant is paired with the one whose own segment the variant is, where there
@@ -211,49 +249,51 @@ def similar_groups(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(x.as_py(), words, seed, segments) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tag", "segs"]
-            )
+            found = [shingle_set(x.as_py(), words, seed) for x in batch.column(2)]
+            segs = pa.array([signature(x, segments) for x in found], pa.list_(pa.int64()))
+            names = pa.array(map(set_name, found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, segs], ["doc_id", "tag", "cid", "segs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.stage(source.mapInArrow(run, f"doc_id {kind}, tag long, segs array<long>"), "rows")
+    rows = scratch.stage(source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, segs array<long>"), "rows")
     classes = scratch.stage(
-        rows.groupBy("segs").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes"
+        rows.groupBy("cid", "segs").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag")), "classes"
     )
     # a member is the class number and, as its last bit, whether the variant is not its own segment
-    met = classes.select("cid", F.explode("segs").alias("seg")).select(
-        "cid", F.posexplode(F.array("seg", *[F.col("seg").bitwiseXOR(F.lit(1 << k)) for k in range(32)])).alias("bit", "variant")
-    ).select("variant", (F.col("cid") * 2 + F.when(F.col("bit") == 0, 0).otherwise(1)).alias("member"))
+    numbered = scratch.stage(classes.withColumn("nr", F.monotonically_increasing_id()), "numbered")
+    met = numbered.select("nr", F.explode("segs").alias("seg")).select(
+        "nr", F.posexplode(F.array("seg", *[F.col("seg").bitwiseXOR(F.lit(1 << k)) for k in range(32)])).alias("bit", "variant")
+    ).select("variant", (F.col("nr") * 2 + F.when(F.col("bit") == 0, 0).otherwise(1)).alias("member"))
     order = Window.partitionBy("variant").orderBy(F.col("member") % 2, "member")
     first = F.first("member").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chained = met.withColumns({"first": first, "last": F.lag("member").over(order)}).where("last is not null")
     pairs = (
         chained.select(
-            F.shiftright("member", 1).alias("cid"),
+            F.shiftright("member", 1).alias("nr"),
             F.explode(F.array(F.col("last"), F.when(F.col("first") % 2 == 0, F.col("first")))).alias("met"),
         )
         .where("met is not null").withColumn("other", F.shiftright("met", 1))
-        .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+        .select(F.least("nr", "other").alias("a"), F.greatest("nr", "other").alias("b")).distinct()
     )
-    one = classes.select(F.col("cid").alias("c1"), F.col("segs").alias("s1"))
-    two = classes.select(F.col("cid").alias("c2"), F.col("segs").alias("s2"))
+    one = numbered.select(F.col("nr").alias("n1"), F.col("cid").alias("c1"), F.col("segs").alias("s1"))
+    two = numbered.select(F.col("nr").alias("n2"), F.col("cid").alias("c2"), F.col("segs").alias("s2"))
     apart = F.aggregate(
         F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
     )
-    verified = (
-        pairs.join(one, F.col("a") == F.col("c1")).join(two, F.col("b") == F.col("c2"))
-        .where(apart <= bit_limit(similarity, 32 * segments)).select("a", "b")
+    near = (
+        pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
+        .where(apart <= bit_limit(similarity, 32 * segments)).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
     )
+    verified = similar_pairs(near, source, classes, words, similarity, seed, scratch, "near")
     reach = scratch.stage(connected_components(verified, scratch), "reach")
     joined = scratch.stage(
-        classes.join(reach, F.col("cid") == F.col("node"), "left").select("segs", "least", F.coalesce("root", "cid").alias("root")), "joined"
+        classes.join(reach, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root")), "joined"
     )
     heads = scratch.stage(joined.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "heads")
     named = scratch.stage(
-        joined.join(heads, F.col("root") == F.col("r")).select(F.col("segs").alias("csegs"), "component_id"), "named"
+        joined.join(heads, F.col("root") == F.col("r")).select(F.col("cid").alias("named_cid"), "component_id"), "named"
     )
-    return rows.join(named, F.col("segs") == F.col("csegs")).select("doc_id", "tag", "component_id")
+    return rows.join(named, F.col("cid") == F.col("named_cid")).select("doc_id", "tag", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
