@@ -176,3 +176,14 @@ def test_texts_below_the_similarity_stay_apart(spark):
     want = slow_groups(rows)
     found = {r.doc_id: r.component_id for r in simhash.similar_groups(table(spark, rows)).collect()}
     assert all(want[i] == want[g] for i, g in found.items())
+
+
+def test_similar_groups_against_brute_force(spark):
+    rows = families(count=6, size=12, shared=150, own=50, seed=5)
+    long = [f"w{i}" for i in range(104)]
+    rows += [(900, " ".join(long), "en", "a", 0), (901, "q " + " ".join(long[1:]), "en", "a", 0)]
+    rows += [(910 + k, " ".join(long[: 50 + 3 * k]), "en", "a", 0) for k in range(18)]  # a chain of ever longer texts
+    rows += [(1000 + r[0], *r[1:]) for r in ODD if r[0] not in (7, None)]
+    want = slow_groups(rows)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(table(spark, rows)).collect()}
+    assert found == want

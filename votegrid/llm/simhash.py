@@ -10,6 +10,7 @@ Chains are deduplicated, verified by counting bits, and contracted to components
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -142,17 +143,18 @@ def near_duplicates(
     )
 
 
-# --- similarity beyond a few bits -------------------------------------------------
+# --- Jaccard similarity ------------------------------------------------------------
 #
 # Texts that share 80 % of their five-word shingles differ in about a seventh of
-# their SimHash bits: no ball around 64 bits is wide enough.  So a longer SimHash is
-# cut into 32-bit segments, and each segment is ball-hashed by itself.
+# their SimHash bits: no ball finds them all.  So candidates come from an exact prefix
+# filter: in any one order of all shingles, two sets of the similarity t have a member
+# in common among the first n - ceil(t * n) + 1 of each.
 
-#: Segments of 32 bits.  Similar pairs at 0.8 meet in one with chance 0.9, at 0.85
-#: with 0.99, at 0.9 with 0.999 (radius 2, measured bit rates 0.14, 0.11, 0.09).
-SEGMENTS = 14
-#: Standard errors of the bit rate that a candidate may lie beyond the similarity's own.
-SLACK = 4.0
+#: Texts that tell which shingles are frequent, and the number of those that are
+#: kept.  Only the order depends on them, and so the cost, never the result.
+ORDER_DOCS, ORDER_SHINGLES = 8_000, 200_000
+#: Longs of a parity bitmap: bitmaps differ in no more bits than their sets in members.
+PARITY = 8
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -166,30 +168,38 @@ def set_name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def signature(hashes: np.ndarray, segments: int) -> list[int]:
-    """SimHash of 32 * ``segments`` bits over distinct shingles; each segment comes
-    as a long with its number in the upper half."""
-    total, ones = 0, np.zeros(32 * segments, np.int64)
-    for k in range(0, len(hashes), _BLOCK >> 2):
-        part = hashes[k : k + (_BLOCK >> 2)]
-        lanes = []
-        for lane in range((segments + 1) // 2):  # further hashes by a 64-bit finaliser
-            x = part + np.uint64((lane * 0x9E3779B97F4A7C15) & (2**64 - 1))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            lanes.append(x ^ (x >> np.uint64(31)))
-        wide = np.stack(lanes, axis=1).astype(">u8").view(np.uint8)
-        ones += np.unpackbits(wide, axis=1)[:, : 32 * segments].sum(axis=0, dtype=np.int64)
-        total += len(part)
-    bits = np.packbits(2 * ones > total) if total else np.zeros(4 * segments, np.uint8)
-    return [(k << 32) | int(v) for k, v in enumerate(bits.view(">u4"))]
-
-
-def bit_limit(similarity: float, bits: int) -> int:
-    """Differing bits up to which texts are candidates: sets of equal size and
-    Jaccard similarity s have the cosine 2s / (1 + s)."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+def frequent(source: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of texts, ascending, and their counts."""
+    step = max(1, source.count() // ORDER_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), words, seed).view(np.int64))], ["item"])
+
+    counted = source.where(F.pmod(F.col("tag"), F.lit(step)) == 0).select("text").mapInArrow(run, "item long").groupBy("item").count()
+    top = counted.where("count > 2").orderBy(F.desc("count"), "item").limit(ORDER_SHINGLES).toArrow()
+    items = top["item"].to_numpy().view(np.uint64)
+    order = np.argsort(items)
+    return items[order], top["count"].to_numpy()[order]
+
+
+def parity(hashes: np.ndarray) -> list[int]:
+    """Of each residue of the shingle hashes, whether an odd number has it, as longs."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def prefix(hashes: np.ndarray, similarity: float, items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The leading shingles, rare ones first, of which similar sets share one."""
+    if not len(hashes):
+        return hashes
+    often = np.zeros(len(hashes), np.int64)
+    if len(items):
+        at = np.minimum(np.searchsorted(items, hashes), len(items) - 1)
+        often = np.where(items[at] == hashes, counts[at], 0)
+    width = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, often))][:width]
 
 
 def similar_pairs(
@@ -227,65 +237,80 @@ def similar_groups(
     text_col: str = "text",
     words: int = 5,
     similarity: float = 0.8,
-    segments: int = SEGMENTS,
     seed: int = 42,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, tag, component_id``; texts link when their
     shingle sets have the Jaccard similarity ``similarity``, exactly.
 
-    Copies of one text are nearer to it than to each other, so every member of a
-    variant is paired with the one whose own segment the variant is, where there
-    is one; and with the member before it.  The order is the same everywhere, so
-    variants that hold the same members repeat the same pairs, which are dropped.
+    Candidates share a shingle of their prefixes.  First each meets the smallest and
+    the largest member at its shingles, which joins groups of copies without pairing
+    all of them; then all candidates that are still in different components meet.
+    Pairs inside a component could not change it, so none is missed.
 
     Nulls, empty texts, repeated rows and empty tables are treated as by
     :func:`near_duplicates`.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "similar")
     python_ready(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    order = spark.sparkContext.broadcast(frequent(source, words, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x.as_py(), words, seed) for x in batch.column(2)]
-            segs = pa.array([signature(x, segments) for x in found], pa.list_(pa.int64()))
+            heads = pa.array([prefix(x, similarity, *order.value).view(np.int64) for x in found], pa.list_(pa.int64()))
             names = pa.array(map(set_name, found), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, segs], ["doc_id", "tag", "cid", "segs"])
+            sizes = pa.array(map(len, found), pa.int64())
+            odd = [pa.array(x, pa.int64()) for x in np.array([parity(x) for x in found], np.int64).reshape(-1, PARITY).T]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), names, sizes, heads, *odd], ["doc_id", "tag", "cid", "size", "heads", *bits]
+            )
 
+    bits = [f"odd{k}_" for k in range(PARITY)]
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.stage(source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, segs array<long>"), "rows")
+    shape = f"doc_id {kind}, tag long, cid long, size long, heads array<long>, " + ", ".join(f"{b} long" for b in bits)
+    rows = scratch.stage(source.mapInArrow(run, shape), "rows")
     classes = scratch.stage(
-        rows.groupBy("cid", "segs").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag")), "classes"
+        rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), *[F.min(b).alias(b) for b in bits]), "classes"
+    )
+    met = rows.select("cid", "size", F.posexplode("heads").alias("pos", "item"))
+    shared = met.groupBy(F.col("item").alias("shared")).agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    crowd = scratch.stage(
+        met.join(shared, F.col("item") == F.col("shared")).select("item", "cid", "size", "pos", "low", "high").distinct(), "crowd"
     )
-    # a member is the class number and, as its last bit, whether the variant is not its own segment
-    numbered = scratch.stage(classes.withColumn("nr", F.monotonically_increasing_id()), "numbered")
-    met = numbered.select("nr", F.explode("segs").alias("seg")).select(
-        "nr", F.posexplode(F.array("seg", *[F.col("seg").bitwiseXOR(F.lit(1 << k)) for k in range(32)])).alias("bit", "variant")
-    ).select("variant", (F.col("nr") * 2 + F.when(F.col("bit") == 0, 0).otherwise(1)).alias("member"))
-    order = Window.partitionBy("variant").orderBy(F.col("member") % 2, "member")
-    first = F.first("member").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    chained = met.withColumns({"first": first, "last": F.lag("member").over(order)}).where("last is not null")
-    pairs = (
-        chained.select(
-            F.shiftright("member", 1).alias("nr"),
-            F.explode(F.array(F.col("last"), F.when(F.col("first") % 2 == 0, F.col("first")))).alias("met"),
-        )
-        .where("met is not null").withColumn("other", F.shiftright("met", 1))
-        .select(F.least("nr", "other").alias("a"), F.greatest("nr", "other").alias("b")).distinct()
+    stars = (
+        crowd.select("cid", F.explode(F.array("low", "high")).alias("hub")).where("cid <> hub")
+        .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
     )
-    one = numbered.select(F.col("nr").alias("n1"), F.col("cid").alias("c1"), F.col("segs").alias("s1"))
-    two = numbered.select(F.col("nr").alias("n2"), F.col("cid").alias("c2"), F.col("segs").alias("s2"))
-    apart = F.aggregate(
-        F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    starred = scratch.stage(similar_pairs(stars, source, classes, words, similarity, seed, scratch, "stars"), "starred")
+    part = scratch.stage(connected_components(starred, Scratch(spark, "stars")), "part")
+    placed = scratch.stage(
+        crowd.join(part, F.col("cid") == F.col("node"), "left").select("item", "cid", "size", "pos", F.coalesce("root", "cid").alias("root")),
+        "placed",
     )
-    near = (
-        pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-        .where(apart <= bit_limit(similarity, 32 * segments)).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+    mixed = placed.groupBy(F.col("item").alias("mixed")).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    odd = classes.select(F.col("cid").alias("odd_cid"), *bits)
+    left = scratch.stage(
+        placed.join(mixed, F.col("item") == F.col("mixed")).join(odd, F.col("cid") == F.col("odd_cid"))
+        .select("item", "cid", "size", "pos", "root", *bits), "left",
     )
-    verified = similar_pairs(near, source, classes, words, similarity, seed, scratch, "near")
-    reach = scratch.stage(connected_components(verified, scratch), "reach")
+    one, two = (left.select(*[F.col(c).alias(f"{c}{k}") for c in left.columns]) for k in (1, 2))
+    # similar sets share ``enough``; their lengths, places and bitmaps must leave room for it
+    total = F.col("size1") + F.col("size2")
+    enough = total * (similarity / (1 + similarity)) - 1e-6
+    reached = F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2"))
+    apart = sum((F.bit_count(F.col(f"{b}1").bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
+    across = one.join(
+        two,
+        (F.col("item1") == F.col("item2")) & (F.col("cid1") < F.col("cid2")) & (F.col("root1") != F.col("root2"))
+        & (reached >= enough) & (total - apart >= 2 * enough),
+    ).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
+    crossed = similar_pairs(across, source, classes, words, similarity, seed, scratch, "across")
+    reach = scratch.stage(connected_components(starred.union(crossed), scratch), "reach")
     joined = scratch.stage(
         classes.join(reach, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root")), "joined"
     )
