@@ -209,3 +209,17 @@ def test_mixing_odd_rows(spark):
     assert all(r.vg_selected for r in got if not (r.text or "").split())
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mix(docs.where("doc_id in (3, 4)")).where("vg_selected").count() == 2
+
+
+def test_drawn_shares_meet_the_targets(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(20, 60)), ["en", "en", "en", "de"][i % 4], ["a", "a", "b"][i % 3], 0) for i in range(1200)]
+    topic = F.when(F.col("doc_id") % 5 < 2, "x").otherwise("y")
+    targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"x": 0.47, "y": 0.53}}
+    mixed = mixing.mix(table(spark, rows), targets, topic, draw=0.8)
+    shares = {(r.axis, r.category): r.drawn for r in mixing.marginals(mixed).collect()}
+    for axis, wanted in targets.items():
+        for k, share in wanted.items():
+            assert shares[axis, k] == pytest.approx(share, abs=1e-3)
+    # what a category does not have cannot be drawn: all of it, and the rest in proportion
+    assert mixing.feasible(np.array([0.5, 0.3, 0.2]), np.array([20.0, 50.0, 30.0]), 70.0) == pytest.approx([20.0, 30.0, 20.0])

@@ -2,14 +2,15 @@
 
 Tokens are summed per cell (source, language, topic).  Raking multiplies the cells
 by one factor per source, language and topic until all three marginals meet
-their targets; documents are then drawn with the probability that their cell's
-factors give.  Built-in functions only; the driver sees sums per category.
+their targets; then again with no cell above 1, which gives the probabilities with
+which documents are drawn.  Built-in functions only; the driver sees sums per cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ TEMPER = 0.8
 #: Share of the tokens to draw.
 DRAW = 0.9
 SWEEPS, TOLERANCE = 60, 1e-6
+#: Of raking with bounds, on the driver; bounds slow it down.
+BOUNDED_SWEEPS = 1_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -77,19 +80,73 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str, di
     return factors
 
 
-def draw_rate(cells: DataFrame, draw: float) -> float:
-    """The rate b at which drawing cells with probability min(1, b * factor) gives
-    ``draw`` of all tokens; three passes over a grid of rates."""
-    top = cells.agg(F.max("factor").alias("hi"), F.min(F.when(F.col("factor") > 0, F.col("factor"))).alias("lo"), F.sum("tokens").alias("n")).first()
-    if not top.n or not top.hi:
-        return 0.0
-    low, high, steps = 0.0, 1 / top.lo, 64
-    for _ in range(4):
-        rates = [low + (high - low) * k / steps for k in range(steps + 1)]
-        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * r)).alias(f"r{k}") for k, r in enumerate(rates)]).first()
-        k = next((k for k in range(1, steps + 1) if sums[k] >= draw * top.n), steps)
-        low, high = rates[k - 1], rates[k]
-    return high
+def feasible(wanted: np.ndarray, own: np.ndarray, amount: float) -> np.ndarray:
+    """Tokens per category, ``amount`` in all, in the proportions ``wanted``; where
+    a category has fewer, all that it has, and the others keep their proportions."""
+    full = np.zeros(len(own), bool)
+    while True:
+        open_share = wanted[~full].sum()
+        rest = max(0.0, amount - own[full].sum())
+        got = np.where(full, own, wanted * (rest / open_share if open_share else 0.0))
+        more = ~full & (got > own)
+        if not more.any():
+            return got
+        full |= more
+
+
+def bounded(
+    cells: DataFrame, factors: dict[str, dict[str, float]], targets: dict[str, dict[str, float]], draw: float
+) -> dict[str, dict[str, float]]:
+    """Factors per axis and category whose product, at most 1, is the probability of
+    a cell: ``draw`` of all tokens with the target marginals.
+
+    A target beyond what its category has at this draw is not feasible; it is logged,
+    the category is drawn whole, and the others of the axis keep their proportions.
+    """
+    table = cells.select(*AXES, "tokens").toArrow()
+    tokens = table["tokens"].to_numpy().astype(float)
+    names = {a: list(targets[a]) for a in AXES}
+    code = {}
+    for a in AXES:
+        number = {k: i for i, k in enumerate(names[a])}
+        code[a] = np.array([number.get(k, -1) for k in table[a].to_pylist()], np.int64)
+    now = {a: np.array([factors[a][k] for k in names[a]]) for a in AXES}
+    alive = np.all([(code[a] >= 0) & (now[a][code[a]] > 0) for a in AXES], axis=0) & (tokens > 0)
+    amount = min(draw * tokens.sum(), tokens[alive].sum())
+    code, tokens = {a: code[a][alive] for a in AXES}, tokens[alive]
+    goal = {}
+    for a in AXES:
+        own = np.bincount(code[a], tokens, len(names[a]))
+        wanted = np.array([targets[a][k] for k in names[a]])
+        goal[a] = feasible(wanted, own, amount)
+        short = [f"{k} {w:.4f} (at most {o / amount:.4f})" for k, w, o in zip(names[a], wanted, own, strict=True) if w * amount > o * (1 + 1e-9)]
+        if short:
+            logging.getLogger(__name__).warning("targets of %s not feasible at this draw: %s", a, ", ".join(short[:20]))
+    now[AXES[0]] = now[AXES[0]] * amount
+    for _ in range(BOUNDED_SWEEPS):
+        off = 0.0
+        for a in AXES:
+            chance = np.minimum(1.0, np.prod([now[x][code[x]] for x in AXES], axis=0))
+            found = np.bincount(code[a], tokens * chance, len(names[a]))
+            step = np.divide(goal[a], found, out=np.ones_like(found), where=found > 0)
+            off = max(off, float(np.abs(step - 1).max(initial=0.0)))
+            now[a] = np.clip(now[a] * step, 0.0, 1e200)
+        if off < TOLERANCE:
+            break
+    return {a: dict(zip(names[a], map(float, now[a]), strict=True)) for a in AXES}
+
+
+def marginals(mixed: DataFrame) -> DataFrame:
+    """``axis, category, own, drawn``: shares of all tokens, and of those that the
+    probabilities of :func:`mix` draw on average."""
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"vg_{a}").alias("category")) for a in AXES])).alias("at")
+    sums = mixed.select(axes, F.col("vg_tokens").alias("n"), (F.col("vg_tokens") * F.col("vg_p")).alias("x")).groupBy("at").agg(
+        F.sum("n").alias("n"), F.sum("x").alias("x")
+    )
+    whole = sums.groupBy(F.col("at.axis").alias("of")).agg(F.sum("n").alias("all_n"), F.sum("x").alias("all_x"))
+    return sums.join(whole, F.col("at.axis") == F.col("of")).select(
+        "at.axis", "at.category", (F.col("n") / F.col("all_n")).alias("own"), (F.col("x") / F.col("all_x")).alias("drawn")
+    )
 
 
 def mix(
@@ -107,7 +164,9 @@ def mix(
     vg_weight, vg_p, vg_selected`` added; no row is dropped here.
 
     ``targets`` gives shares per axis (``source``, ``lang``, ``topic``); an axis
-    left out gets its own shares of tokens to the power ``temper``.
+    left out gets its own shares of tokens to the power ``temper``.  ``draw`` of
+    the tokens are drawn, with these shares where a category has enough tokens
+    (:func:`bounded`); :func:`marginals` gives the shares that were reached.
 
     * Null source or language is the category ''; a null text has no tokens.
     * Cells without tokens, and categories without a target, have probability 0,
@@ -139,16 +198,16 @@ def mix(
     wanted = {a: (targets or {}).get(a) or tempered(_sums(cells, a, F.col("tokens")), temper) for a in AXES}
     if all(wanted.values()):
         factors = rake(cells, wanted)
+        chances = bounded(cells, factors, wanted, draw)
     else:  # no tokens at all
-        factors = {a: {"": 0.0} for a in AXES}
-    factor = F.lit(1.0)
+        factors = chances = {a: {"": 0.0} for a in AXES}
+    factor, chance = F.lit(1.0), F.lit(1.0)
     for a in AXES:
         factor = factor * _lookup(factors[a], F.col(a))
-    cells = cells.withColumn("factor", factor)
-    rate = draw_rate(cells, draw)
+        chance = chance * _lookup(chances[a], F.col(a))
     table = scratch.stage(
-        cells.select(*[F.col(a).alias(f"vg_c_{a}") for a in AXES], F.col("factor").alias("vg_c_weight"),
-                     F.least(F.lit(1.0), F.col("factor") * rate).alias("vg_c_p")).coalesce(1),
+        cells.select(*[F.col(a).alias(f"vg_c_{a}") for a in AXES], factor.alias("vg_c_weight"),
+                     F.least(F.lit(1.0), chance).alias("vg_c_p")).coalesce(1),
         "table",
     )
     at = [F.when(F.col(f"vg_{a}").isin(kept[a]), F.col(f"vg_{a}")).otherwise(OTHER) == F.col(f"vg_c_{a}") for a in AXES]
