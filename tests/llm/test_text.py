@@ -223,3 +223,14 @@ def test_drawn_shares_meet_the_targets(spark):
             assert shares[axis, k] == pytest.approx(share, abs=1e-3)
     # what a category does not have cannot be drawn: all of it, and the rest in proportion
     assert mixing.feasible(np.array([0.5, 0.3, 0.2]), np.array([20.0, 50.0, 30.0]), 70.0) == pytest.approx([20.0, 30.0, 20.0])
+
+
+def test_all_sections_of_an_article_are_kept():
+    part = lambda k: " ".join(f"Part {k} tells of this and that at length, sentence {i}." for i in range(12))
+    page = (
+        f"<body><nav>Home</nav><article><section class=content><p>{part(1)}</p><p>{part(2)}</p></section>"
+        f"<section><p>{part(3)}</p></section><section id=social-impact><h2 id=related-work>Related work</h2><p>{part(4)}</p></section>"
+        "<section id=comments><p>A reader says something.</p></section></article></body>"
+    )
+    text = html_text.extract(page)
+    assert text == "\n\n".join([part(1), part(2), part(3), "Related work", part(4)])

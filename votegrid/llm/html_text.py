@@ -46,6 +46,7 @@ _SKIP_WORDS = frozenset(
     "reactions related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription taboola toolbar widget widgets".split()
 )
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEGATED = frozenset("has with without no non".split())
 _MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 _ANY_CLASS = frozenset("html body article main".split())
@@ -75,6 +76,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.semantic: set[int] = set()
+        self.outer: set[int] = set()
         self.open: list[tuple[str, int, bool]] = []
         self._seen = 0
         self._text: list[str] = []
@@ -119,7 +121,7 @@ class _Reader(HTMLParser):
         skipped, number = bool(self.open and self.open[-1][2]), 0
         at = dict(attrs)
         if not skipped:
-            skipped = tag in _SKIP or self._marked(tag, at)
+            skipped = tag in _SKIP or self._marked(tag, at, any(t in ("article", "main") for t, _, _ in self.open))
             if skipped:
                 self._flush()
         if tag in _BLOCK:
@@ -130,6 +132,8 @@ class _Reader(HTMLParser):
             self._seen += 1
             number = self._seen
             words = _words(at.get("class"), at.get("id"), at.get("itemprop"), at.get("role"))
+            if tag in ("article", "main"):
+                self.outer.add(number)
             if tag in ("article", "main") or _MAIN_WORDS & {*words, "".join(words)}:
                 self.semantic.add(number)
         if tag == "a":
@@ -140,12 +144,16 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)  # as browsers do: the slash means nothing
 
     @staticmethod
-    def _marked(tag: str, at: dict[str, str | None]) -> bool:
+    def _marked(tag: str, at: dict[str, str | None], inside: bool) -> bool:
         if "hidden" in at or at.get("aria-hidden") == "true" or (at.get("role") or "") in _SKIP_ROLES:
             return True
         if tag in _ANY_CLASS and not ({"comment", "comments"} & set(_words(at.get("class")))):
             return False
-        words = _words(at.get("class"), at.get("id"))
+        if tag in _HEADING:
+            return False
+        words, named = _words(at.get("class")), _words(at.get("id"))
+        if not inside or set(named) <= _SKIP_WORDS:  # an article's sections have ids made from their titles
+            words += named
         return any(
             w in _SKIP_WORDS and (not k or words[k - 1] not in _NEGATED) and words[k + 1 : k + 2] != ["free"]
             for k, w in enumerate(words)
@@ -207,8 +215,9 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
         for n in x.path:
             mass[n] = mass.get(n, 0) + size
             held[n] = held.get(n, 0) + 1
-    # the innermost element that holds the bulk of the content lines
-    best = max(
+    # the outermost article or main that holds the bulk of the content lines, or else
+    # the innermost element that does
+    best = min((n for n in mass if n in reader.outer and mass[n] >= 0.5 * total), default=0) or max(
         (n for n in mass if mass[n] >= (0.5 if n in reader.semantic else 0.8) * total and (n in reader.semantic or held[n] > 1)),
         key=lambda n: (n in reader.semantic, n), default=0,
     )
