@@ -154,7 +154,7 @@ def near_duplicates(
 #: kept.  Only the order depends on them, and so the cost, never the result.
 ORDER_DOCS, ORDER_SHINGLES = 8_000, 200_000
 #: Longs of a parity bitmap: bitmaps differ in no more bits than their sets in members.
-PARITY = 8
+PARITY = 16
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -202,14 +202,29 @@ def prefix(hashes: np.ndarray, similarity: float, items: np.ndarray, counts: np.
     return hashes[np.lexsort((hashes, often))][:width]
 
 
+def room(similarity: float, bits: list[str]):
+    """Whether sets of ``size1`` and ``size2`` members may be similar: the smaller is
+    large enough, and their bitmaps differ in few enough bits."""
+    total = F.col("size1") + F.col("size2")
+    enough = total * (similarity / (1 + similarity)) - 1e-6
+    apart = sum((F.bit_count(F.col(f"{b}1").bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
+    return (F.least("size1", "size2") >= enough) & (total - apart >= 2 * enough)
+
+
 def similar_pairs(
     pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, similarity: float, seed: int, scratch: Scratch, name: str
 ) -> DataFrame:
     """Those of ``pairs(a, b)`` of set names whose sets have the Jaccard similarity.
 
-    Sets are made again from the texts, for classes that are in a pair only.
+    Pairs whose sizes or bitmaps leave no room for it go first; for the classes of
+    the others, sets are made again from the texts.
     """
-    pairs = scratch.stage(pairs, f"{name}_pairs")
+    bits = [c for c in classes.columns if c.startswith("odd")]
+    one, two = (classes.select(*[F.col(c).alias(f"{c}{k}") for c in ("cid", "size", *bits)]) for k in (1, 2))
+    pairs = scratch.stage(
+        pairs.join(one, F.col("a") == F.col("cid1")).join(two, F.col("b") == F.col("cid2")).where(room(similarity, bits)).select("a", "b"),
+        f"{name}_pairs",
+    )
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
     tags = classes.join(ends, F.col("cid") == F.col("end"), "left_semi").select(F.col("least_tag")).distinct()
     tags = keyed(scratch.stage(tags, f"{name}_tags"))
@@ -275,7 +290,7 @@ def similar_groups(
     shape = f"doc_id {kind}, tag long, cid long, size long, heads array<long>, " + ", ".join(f"{b} long" for b in bits)
     rows = scratch.stage(source.mapInArrow(run, shape), "rows")
     classes = scratch.stage(
-        rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), *[F.min(b).alias(b) for b in bits]), "classes"
+        rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in bits]), "classes"
     )
     met = rows.select("cid", "size", F.posexplode("heads").alias("pos", "item"))
     shared = met.groupBy(F.col("item").alias("shared")).agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
@@ -299,15 +314,14 @@ def similar_groups(
         .select("item", "cid", "size", "pos", "root", *bits), "left",
     )
     one, two = (left.select(*[F.col(c).alias(f"{c}{k}") for c in left.columns]) for k in (1, 2))
-    # similar sets share ``enough``; their lengths, places and bitmaps must leave room for it
+    # of what similar sets share, the shingles from here on must leave room for
     total = F.col("size1") + F.col("size2")
     enough = total * (similarity / (1 + similarity)) - 1e-6
     reached = F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2"))
-    apart = sum((F.bit_count(F.col(f"{b}1").bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
     across = one.join(
         two,
         (F.col("item1") == F.col("item2")) & (F.col("cid1") < F.col("cid2")) & (F.col("root1") != F.col("root2"))
-        & (reached >= enough) & (total - apart >= 2 * enough),
+        & (reached >= enough) & room(similarity, bits),
     ).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
     crossed = similar_pairs(across, source, classes, words, similarity, seed, scratch, "across")
     reach = scratch.stage(connected_components(starred.union(crossed), scratch), "reach")
