@@ -43,6 +43,14 @@ def test_order(spark):
     assert ranked(topk.exact_topk(query_of(spark, 4), refs, 3)) == [(2, 1), (1, 16), (0, 36)]
 
 
+def test_ties_of_unordered_references_go_to_the_lower_index(spark):
+    stored = spark.createDataFrame([(i, 0, vec(4)) for i in (9, 5, 3, 1, 7, 0, 2)], REFS).coalesce(1)
+    for bounds in ({}, {"refs_block": 2}, {"block": 1, "refs_block": 2}):
+        queries = spark.createDataFrame([(q, vec(4)) for q in range(3)], "query_id long, vec array<smallint>")
+        found = topk.exact_topk(queries, stored, 2, **bounds).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.record_index) for r in found] == [(q, i) for q in range(3) for i in (0, 1)]
+
+
 def test_k_is_cut_and_ties_go_by_index(spark):
     assert ranked(topk.exact_topk(query_of(spark, 0), refs_of(spark, [0, 10, 20, 30, 40]), 2)) == [(0, 0), (1, 100)]
     assert ranked(topk.exact_topk(query_of(spark, 5), refs_of(spark, [10, 0, 10, 0]), 3)) == [(0, 25), (1, 25), (2, 25)]
@@ -57,9 +65,11 @@ def test_array_and_join_forms_agree(spark, seed):
     refs = spark.createDataFrame([(i, int(i % 2), [int(x) for x in p]) for i, p in enumerate(points[:50])], REFS)
     queries = spark.createDataFrame([(i, [int(x) for x in p]) for i, p in enumerate(points[50:])], "query_id long, vec array<smallint>")
     for filtered in (False, True):
-        a = topk.exact_topk(queries, refs, 4, filtered, block=3).orderBy("query_id", "rank").collect()
         b = topk.exact_topk_joined(queries, refs, 4, filtered).orderBy("query_id", "rank").collect()
-        assert a == b
+        mixed = refs.orderBy(F.rand(seed)).repartition(3)
+        for bounds in ({}, {"refs_block": 7}, {"block": 4, "refs_block": 7}):  # each of the three plans
+            a = topk.exact_topk(queries, mixed, 4, filtered, **bounds).orderBy("query_id", "rank").collect()
+            assert [(r.query_id, r.record_index, r.distance, r["rank"]) for r in a] == [(r.query_id, r.record_index, r.distance, r["rank"]) for r in b]
 
 
 def test_no_queries_and_no_references(spark):

@@ -1,14 +1,14 @@
-"""Nearest records: bounded top-k in the order (distance, scan position).
+"""Nearest records: bounded top-k in the order (distance, record index).
 
-Exact search sends the queries, in blocks of bounded size, to every partition of
-the references; a partition answers each query with its own best k, and only
-those are shuffled.  The references are scanned once per block and never moved.
+Exact search moves the smaller side, by counted size: few references go to the
+queries, which stream past them; few queries go to every partition of the
+references, each of which answers with its own best k; two large sides are cut into
+blocks, and every pair of blocks is one bounded task.  All three give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from votegrid.functions.distance import l2_matrix_fast, l2_squared, lane
 from votegrid.plans.config import DIM, FLAG_LANES
-from votegrid.storage import Scratch, reachable
+from votegrid.storage import Scratch, reachable, within
 
-#: Queries sent out at a time; each is DIM 16-bit values and an id.
-QUERY_BLOCK = 20_000
+#: Queries, or references, that are sent whole to every task: DIM 16-bit values, an
+#: id and a label each.
+QUERY_BLOCK, REFS_BLOCK = 20_000, 200_000
 #: Cells of one distance matrix (rows x queries) that a task holds.
 MATRIX_CELLS = 2_000_000
 _FOUND = "query_id bigint, record_index bigint, label tinyint, distance bigint"
@@ -48,7 +49,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(distance: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k smallest values per column, ties by row number."""
+    """Row numbers of the k smallest values per column, ties by row number: rows must
+    stand in ascending order of the record index."""
     rows = np.arange(len(distance), dtype=np.int64)[:, None]
     width = max(1, len(distance))
     key = np.where(distance < 0, np.iinfo(np.int64).max // 2, distance * width + rows)
@@ -59,33 +61,61 @@ def _best(distance: np.ndarray, k: int) -> np.ndarray:
     return chosen
 
 
+def _nearest(index: np.ndarray, label: np.ndarray, vectors: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, filtered: bool) -> tuple[np.ndarray, ...]:
+    """Query id, record index, label and distance (-1: flags differ) of the k best of
+    these records for each query; records in any order, any number of them."""
+    step = max(1, MATRIX_CELLS // max(1, len(ids)))
+    order = np.argsort(index, kind="stable")
+    best: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(index), step):
+        part = order[a : a + step]
+        distance = l2_matrix_fast(vectors[part], points)
+        if filtered:
+            same = np.ones(distance.shape, bool)
+            for f in FLAG_LANES:
+                same &= vectors[part, f][:, None] == points[None, :, f]
+            distance[~same] = -1
+        rows = _best(distance, k)
+        held = np.take_along_axis(distance, rows, axis=0)
+        best.append((np.broadcast_to(ids, held.shape).ravel(), index[part][rows].ravel(), label[part][rows].ravel(), held.ravel()))
+        if len(best) > 8:
+            best = [_merge(best, k)]
+    return _merge(best, k) if best else (np.zeros(0, np.int64),) * 4
+
+
+def _rows(found: tuple[np.ndarray, ...], ranked: bool = False) -> pa.RecordBatch:
+    """The merged rows; ``ranked`` numbers those of each query from 1."""
+    types, names = [pa.int64(), pa.int64(), pa.int8(), pa.int64()], ["query_id", "record_index", "label", "distance"]
+    if ranked:
+        first = np.searchsorted(found[0], found[0], side="left")
+        found, types, names = (*found, np.arange(len(first)) - first + 1), [*types, pa.int32()], [*names, "rank"]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types, strict=True)], names)
+
+
 def _scan(ids: np.ndarray, points: np.ndarray, k: int, filtered: bool):
-    """A partition's best k per query, batch after batch."""
+    """A partition of references gives its best k per query, batch after batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, MATRIX_CELLS // max(1, len(ids)))
         best: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            index, label, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            for a in range(0, len(index), step):
-                part = vectors[a : a + step]
-                distance = l2_matrix_fast(part, points)
-                if filtered:
-                    same = np.ones(distance.shape, bool)
-                    for f in FLAG_LANES:
-                        same &= part[:, f, None] == points[None, :, f]
-                    distance[~same] = -1
-                rows = _best(distance, k)
-                held = np.take_along_axis(distance, rows, axis=0)
-                best.append((np.broadcast_to(ids, held.shape).ravel(), index[a : a + step][rows].ravel(), label[a : a + step][rows].ravel(), held.ravel()))
+            best.append(_nearest(batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)), ids, points, k, filtered))
             if len(best) > 8:
                 best = [_merge(best, k)]
         if best:
-            q, i, y, d = _merge(best, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(y, pa.int8()), pa.array(d, pa.int64())],
-                ["query_id", "record_index", "label", "distance"],
-            )
+            yield _rows(_merge(best, k))
+
+    return run
+
+
+def _answer(index: np.ndarray, label: np.ndarray, vectors: np.ndarray, k: int, filtered: bool):
+    """A partition of queries, past all references, which gives their final ranks: no
+    shuffle.  A batch of queries is cut so that memory does not depend on its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, points = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for a in range(0, len(ids), 4096):
+                yield _rows(_nearest(index, label, vectors, ids[a : a + 4096], points[a : a + 4096], k, filtered), ranked=True)
 
     return run
 
@@ -100,30 +130,56 @@ def _merge(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...
     return q[keep], i[keep], y[keep], d[keep]
 
 
-def exact_topk(queries: DataFrame, refs: DataFrame, k: int, filtered: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def exact_topk(
+    queries: DataFrame, refs: DataFrame, k: int, filtered: bool = False, block: int = QUERY_BLOCK, refs_block: int = REFS_BLOCK
+) -> DataFrame:
     """``query_id, record_index, label, distance, rank`` of each query's k nearest
     references (fewer if there are fewer); ``filtered`` requires equal flag lanes.
+    Ties go to the lower record index, in whatever order the rows are stored.
 
-    Queries go out in blocks of at most about ``block``; every block scans the
-    references once, and no more than one block is on the driver.
+    At most ``refs_block`` references, or else at most ``block`` queries, reach the
+    driver and go to all tasks; beyond that nothing is gathered (:func:`blockwise`).
     """
     spark = refs.sparkSession
     reachable(spark)
-    scan = refs.select("record_index", "label", "vec")
-
-    def search(table: pa.Table) -> DataFrame:
-        points = _matrix(table.column("vec").combine_chunks()) if table.num_rows else np.zeros((0, DIM), np.int16)
-        return scan.mapInArrow(_scan(table.column("query_id").to_numpy(), points, k, filtered), _FOUND)
-
+    scan = refs.select("record_index", F.col("label").cast("tinyint").alias("label"), F.col("vec").cast("array<smallint>").alias("vec"))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<smallint>").alias("vec"))
-    table = asked.limit(block + 1).toArrow()
-    if table.num_rows <= block:
-        return keep_top(search(table), k, "record_index")
-    staged = Scratch(spark, "queries").stage(asked, "asked")
-    parts = -(-2 * staged.count() // block)  # hashing fills blocks unevenly: aim at half
-    number = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    found = [keep_top(search(staged.where(number == p).toArrow()), k, "record_index") for p in range(parts)]
-    return reduce(DataFrame.unionByName, found)
+    if within(scan, refs_block):
+        table = scan.toArrow()
+        answer = _answer(table.column("record_index").to_numpy(), table.column("label").to_numpy(), _points(table), k, filtered)
+        return asked.mapInArrow(answer, _FOUND + ", rank int")
+    asked = Scratch(spark, "queries").stage(asked, "asked")
+    if within(asked, block):
+        table = asked.toArrow()
+        found = scan.mapInArrow(_scan(table.column("query_id").to_numpy(), _points(table), k, filtered), _FOUND)
+        return keep_top(found, k, "record_index")
+    return blockwise(asked, scan, k, filtered, block, refs_block)
+
+
+def _points(table: pa.Table) -> np.ndarray:
+    return _matrix(table.column("vec").combine_chunks()) if table.num_rows else np.zeros((0, DIM), np.int16)
+
+
+def blockwise(queries: DataFrame, refs: DataFrame, k: int, filtered: bool, block: int, refs_block: int) -> DataFrame:
+    """Both sides cut into blocks by a hash of their ids, each pair of blocks one
+    group: a query travels once per block of references and the other way round.
+    Hashing fills blocks unevenly, so they aim at half of their bound."""
+    q_parts, r_parts = -(-2 * queries.count() // block), -(-2 * refs.count() // refs_block)
+    spread = lambda frame, key, own, parts, other, others: frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+    )
+    left = spread(queries, "query_id", "q_part", q_parts, "r_part", r_parts).withColumn("q_part", F.col("q_part").cast("int"))
+    right = spread(refs, "record_index", "r_part", r_parts, "q_part", q_parts).withColumn("r_part", F.col("r_part").cast("int"))
+
+    def pair(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = _nearest(
+            theirs.column("record_index").to_numpy(), theirs.column("label").to_numpy(), _points(theirs),
+            ours.column("query_id").to_numpy(), _points(ours), k, filtered,
+        )
+        return pa.Table.from_batches([_rows(found)])
+
+    found = left.groupBy("q_part", "r_part").cogroup(right.groupBy("q_part", "r_part")).applyInArrow(pair, _FOUND)
+    return keep_top(found, k, "record_index")
 
 
 def exact_topk_joined(queries: DataFrame, refs: DataFrame, k: int, filtered: bool = False) -> DataFrame:
