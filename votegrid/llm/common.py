@@ -44,6 +44,33 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     return condition
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from
+    every column of ``frame``: private columns beside a caller's own."""
+    taken = {c.lower() for c in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def without_rows(docs: DataFrame, keys: dict[str, Column], gone: DataFrame, kind: str = "left_anti") -> DataFrame:
+    """``docs`` without the rows whose keys are in the staged table ``gone`` (columns
+    named as in ``keys``; nulls equal each other), or with ``left_semi`` those alone;
+    its columns, whatever their names, stay as they are."""
+    own = unused(docs, *[f"key_{name}" for name in keys])
+    named = docs.withColumns(dict(zip(own, keys.values(), strict=True)))
+    theirs = unused(named, *[f"gone_{name}" for name in keys])
+    gone = keyed(gone).select(*[F.col(name).alias(t) for name, t in zip(keys, theirs, strict=True)])
+    condition = F.lit(True)
+    for a, b in zip(own, theirs, strict=True):
+        condition = condition & F.col(a).eqNullSafe(F.col(b))
+    return named.join(gone, condition, kind).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keyed(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged key table, broadcast if its counted size is within ``rows``;
     beyond that Spark shuffles both sides."""

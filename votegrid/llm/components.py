@@ -4,8 +4,8 @@ Every round rewrites each edge through the smallest neighbour of its end points
 (large star, then small star) until only stars around the smallest node of each
 component remain; the number of rounds grows with the logarithm of the diameter.
 Neighbourhoods are never gathered: the smallest neighbour is a map-side combined
-aggregate, and it meets the edges in a join salted by the far end, so that a hub
-is spread over tasks.
+aggregate, and it meets the edges in a join of which both sides are shuffled, so that
+adaptive execution splits a hub of any degree.
 """
 
 from __future__ import annotations
@@ -15,20 +15,15 @@ from pyspark.sql import functions as F
 
 from votegrid.storage import Scratch
 
-#: Tasks over which one hub's edges are spread at least.
-SALTS = 16
-
 
 def _through_smallest(edges: DataFrame) -> DataFrame:
     """Columns u, v, m: each edge with the smallest neighbour of u (or u itself)."""
     smallest = edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("best"))
-    smallest = smallest.select(
-        "c", F.least("c", "best").alias("m"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("slot"),
-    )
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(
-        smallest, (F.col("u") == F.col("c")) & (F.col("salt") == F.col("slot"))
+    # the hash is a second key only so that the aggregate is shuffled again: skewed
+    # joins are split where both sides come straight from a shuffle
+    smallest = smallest.select("c", F.least("c", "best").alias("m"), F.xxhash64("c").alias("hc"))
+    return edges.withColumn("hu", F.xxhash64("u")).join(
+        smallest, (F.col("u") == F.col("c")) & (F.col("hu") == F.col("hc"))
     ).select("u", "v", "m")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votegrid.llm.common import ascii_lower, keyed, null_safe
+from votegrid.llm.common import ascii_lower, keyed, unused, without_rows
 from votegrid.storage import Scratch
 
 
@@ -131,17 +131,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("kept").cast("int")).alias("stays")),
         "per_key",
     )
-    named = docs.withColumns({"vg_id": F.col(id_col), "vg_sha": F.sha2(ascii_lower(F.col(text_col)), 256)})
-    pairs = [("vg_id", "doc_id"), ("vg_sha", "text_sha256")]
-    gone = per_key.where("stays = 0 or rows > 1").select(*keys)
-    gone = keyed(gone)
-    out = named.join(gone, null_safe(named, gone, pairs), "left_anti")
+    named = {"doc_id": F.col(id_col), "text_sha256": F.sha2(ascii_lower(F.col(text_col)), 256)}
+    out = without_rows(docs, named, per_key.where("stays = 0 or rows > 1").select(*keys))
     again = per_key.where("stays = 1 and rows > 1").select(*keys)
     if not again.isEmpty():  # repeated rows: one of each
-        again = keyed(again)
-        same = named.join(again, null_safe(named, again, pairs), "left_semi")
-        out = out.unionByName(same.dropDuplicates(["vg_id", "vg_sha"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        same = without_rows(docs, named, again, "left_semi")
+        own = unused(same, "key_id", "key_sha")
+        first = same.withColumns(dict(zip(own, named.values(), strict=True))).dropDuplicates(own)
+        out = out.unionByName(first.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from votegrid.llm.common import python_ready, keyed, null_safe
+from votegrid.llm.common import keyed, python_ready, without_rows
 from votegrid.llm.components import connected_components
 from votegrid.storage import Scratch
 
@@ -155,6 +155,9 @@ def near_duplicates(
 ORDER_DOCS, ORDER_SHINGLES = 8_000, 200_000
 #: Longs of a parity bitmap: bitmaps differ in no more bits than their sets in members.
 PARITY = 16
+#: Shingles before a shared one that are looked at to see whether a pair has met
+#: already.  More meet again; the pairs are made distinct in any case.
+EARLIER = 64
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -211,22 +214,16 @@ def room(similarity: float, bits: list[str]):
     return (F.least("size1", "size2") >= enough) & (total - apart >= 2 * enough)
 
 
-def similar_pairs(
-    pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, similarity: float, seed: int, scratch: Scratch, name: str
-) -> DataFrame:
-    """Those of ``pairs(a, b)`` of set names whose sets have the Jaccard similarity.
+def _twice(frame: DataFrame) -> list[DataFrame]:
+    """The frame with its columns numbered 1 and 2: the sides of a join with itself."""
+    return [frame.select(*[F.col(c).alias(f"{c}{k}") for c in frame.columns]) for k in (1, 2)]
 
-    Pairs whose sizes or bitmaps leave no room for it go first; for the classes of
-    the others, sets are made again from the texts.
-    """
-    bits = [c for c in classes.columns if c.startswith("odd")]
-    one, two = (classes.select(*[F.col(c).alias(f"{c}{k}") for c in ("cid", "size", *bits)]) for k in (1, 2))
-    pairs = scratch.stage(
-        pairs.join(one, F.col("a") == F.col("cid1")).join(two, F.col("b") == F.col("cid2")).where(room(similarity, bits)).select("a", "b"),
-        f"{name}_pairs",
-    )
+
+def verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, similarity: float, seed: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the staged ``pairs(a, b)`` of set names whose sets have the Jaccard
+    similarity; the sets are made again from one text of each class concerned."""
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    tags = classes.join(ends, F.col("cid") == F.col("end"), "left_semi").select(F.col("least_tag")).distinct()
+    tags = classes.join(ends, F.col("cid") == F.col("end"), "left_semi").select("least_tag").distinct()
     tags = keyed(scratch.stage(tags, f"{name}_tags"))
     texts = source.join(tags, F.col("tag") == F.col("least_tag"), "left_semi").select("text")
 
@@ -237,15 +234,38 @@ def similar_pairs(
             yield pa.RecordBatch.from_arrays([pa.array(map(set_name, found), pa.int64()), sets], ["cid", "items"])
 
     sets = scratch.stage(texts.mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"]), f"{name}_sets")
-    one = sets.select(F.col("cid").alias("c1"), F.col("items").alias("s1"))
-    two = sets.select(F.col("cid").alias("c2"), F.col("items").alias("s2"))
-    both = F.size(F.array_intersect("s1", "s2"))
+    one, two = _twice(sets)
+    both = F.size(F.array_intersect("items1", "items2"))
     return (
-        pairs.join(one, F.col("a") == F.col("c1")).join(two, F.col("b") == F.col("c2"))
-        .where(both / (F.size("s1") + F.size("s2") - both) >= similarity).select("a", "b")
+        pairs.join(one, F.col("a") == F.col("cid1")).join(two, F.col("b") == F.col("cid2"))
+        .where(both / (F.size("items1") + F.size("items2") - both) >= similarity).select("a", "b")
     )
 
 
+def set_rows(source: DataFrame, words: int, similarity: float, seed: int, bits: list[str]) -> DataFrame:
+    """``doc_id, tag, cid, size``, and for the first row of a set in its task the
+    prefix ``heads`` and the bitmap, else null."""
+    order = source.sparkSession.sparkContext.broadcast(frequent(source, words, seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            found = [shingle_set(x.as_py(), words, seed) for x in batch.column(2)]
+            names = [set_name(x) for x in found]
+            heads, odd = [], []
+            for x, cid in zip(found, names, strict=True):
+                first = cid not in seen
+                seen.add(cid)
+                heads.append(prefix(x, similarity, *order.value).view(np.int64) if first else None)
+                odd.append(parity(x) if first else [None] * PARITY)
+            columns = [pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+            columns += [pa.array(x, pa.int64()) for x in (zip(*odd, strict=True) if odd else [()] * PARITY)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "tag", "cid", "size", "heads", *bits])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, size long, heads array<long>, " + ", ".join(f"{b} long" for b in bits))
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -258,10 +278,12 @@ def similar_groups(
     """One row per input row: ``doc_id, tag, component_id``; texts link when their
     shingle sets have the Jaccard similarity ``similarity``, exactly.
 
-    Candidates share a shingle of their prefixes.  First each meets the smallest and
-    the largest member at its shingles, which joins groups of copies without pairing
-    all of them; then all candidates that are still in different components meet.
-    Pairs inside a component could not change it, so none is missed.
+    Candidates share a shingle of their prefixes.  First each meets, at its shingles,
+    the member with most company there (copies of a text gather round it) and the
+    smallest, which joins groups of copies without pairing all of them; then all
+    candidates still in different components meet, once each, where sizes, places in
+    the prefixes and bitmaps leave room for the similarity.  Pairs inside a component
+    could not change it, so none is missed.
 
     Nulls, empty texts, repeated rows and empty tables are treated as by
     :func:`near_duplicates`.
@@ -272,58 +294,50 @@ def similar_groups(
     scratch = scratch or Scratch(spark, "similar")
     python_ready(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(frequent(source, words, seed))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x.as_py(), words, seed) for x in batch.column(2)]
-            heads = pa.array([prefix(x, similarity, *order.value).view(np.int64) for x in found], pa.list_(pa.int64()))
-            names = pa.array(map(set_name, found), pa.int64())
-            sizes = pa.array(map(len, found), pa.int64())
-            odd = [pa.array(x, pa.int64()) for x in np.array([parity(x) for x in found], np.int64).reshape(-1, PARITY).T]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), names, sizes, heads, *odd], ["doc_id", "tag", "cid", "size", "heads", *bits]
-            )
-
     bits = [f"odd{k}_" for k in range(PARITY)]
-    kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"doc_id {kind}, tag long, cid long, size long, heads array<long>, " + ", ".join(f"{b} long" for b in bits)
-    rows = scratch.stage(source.mapInArrow(run, shape), "rows")
+    rows = scratch.stage(set_rows(source, words, similarity, seed, bits), "rows")
     classes = scratch.stage(
         rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in bits]), "classes"
     )
-    met = rows.select("cid", "size", F.posexplode("heads").alias("pos", "item"))
-    shared = met.groupBy(F.col("item").alias("shared")).agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    # the rows of shared prefix shingles; most shingles are of one text and end here
+    met = rows.where("heads is not null").select("cid", "size", F.posexplode("heads").alias("pos", "item"))
+    shared = met.groupBy(F.col("item").alias("shared")).agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("company")).where("low < high")
     crowd = scratch.stage(
-        met.join(shared, F.col("item") == F.col("shared")).select("item", "cid", "size", "pos", "low", "high").distinct(), "crowd"
+        met.join(shared.drop("high"), F.col("item") == F.col("shared")).select("item", "cid", "size", "pos", "low", "company").distinct(), "crowd"
     )
+    central = crowd.groupBy(F.col("cid").alias("c")).agg((F.sum("company") / F.max("size")).alias("central"))
+    hubs = crowd.join(central, F.col("cid") == F.col("c")).groupBy(F.col("item").alias("at")).agg(F.max_by("cid", "central").alias("hub"))
     stars = (
-        crowd.select("cid", F.explode(F.array("low", "high")).alias("hub")).where("cid <> hub")
+        crowd.join(hubs, F.col("item") == F.col("at")).select("cid", "hub")
+        .unionByName(crowd.select("cid", F.col("low").alias("hub"))).where("cid <> hub")
         .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
     )
-    starred = scratch.stage(similar_pairs(stars, source, classes, words, similarity, seed, scratch, "stars"), "starred")
+    one, two = _twice(classes.select("cid", "size", *bits))
+    stars = stars.join(one, F.col("a") == F.col("cid1")).join(two, F.col("b") == F.col("cid2")).where(room(similarity, bits)).select("a", "b")
+    starred = scratch.stage(verified(scratch.stage(stars, "stars_pairs"), source, classes, words, similarity, seed, scratch, "stars"), "starred")
     part = scratch.stage(connected_components(starred, Scratch(spark, "stars")), "part")
+
     placed = scratch.stage(
         crowd.join(part, F.col("cid") == F.col("node"), "left").select("item", "cid", "size", "pos", F.coalesce("root", "cid").alias("root")),
         "placed",
     )
     mixed = placed.groupBy(F.col("item").alias("mixed")).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
     odd = classes.select(F.col("cid").alias("odd_cid"), *bits)
+    before = Window.partitionBy("cid").orderBy("pos").rowsBetween(-EARLIER, -1)
     left = scratch.stage(
-        placed.join(mixed, F.col("item") == F.col("mixed")).join(odd, F.col("cid") == F.col("odd_cid"))
-        .select("item", "cid", "size", "pos", "root", *bits), "left",
+        placed.join(mixed, F.col("item") == F.col("mixed")).withColumn("prior", F.collect_list("item").over(before))
+        .join(odd, F.col("cid") == F.col("odd_cid")).select("item", "cid", "size", "pos", "root", "prior", *bits), "left",
     )
-    one, two = (left.select(*[F.col(c).alias(f"{c}{k}") for c in left.columns]) for k in (1, 2))
+    one, two = _twice(left)
     # of what similar sets share, the shingles from here on must leave room for
-    total = F.col("size1") + F.col("size2")
-    enough = total * (similarity / (1 + similarity)) - 1e-6
+    enough = (F.col("size1") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-6
     reached = F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2"))
     across = one.join(
         two,
         (F.col("item1") == F.col("item2")) & (F.col("cid1") < F.col("cid2")) & (F.col("root1") != F.col("root2"))
-        & (reached >= enough) & room(similarity, bits),
+        & (reached >= enough) & room(similarity, bits) & ~F.arrays_overlap("prior1", "prior2"),
     ).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
-    crossed = similar_pairs(across, source, classes, words, similarity, seed, scratch, "across")
+    crossed = verified(scratch.stage(across, "across_pairs"), source, classes, words, similarity, seed, scratch, "across")
     reach = scratch.stage(connected_components(starred.union(crossed), scratch), "reach")
     joined = scratch.stage(
         classes.join(reach, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root")), "joined"
@@ -338,14 +352,12 @@ def similar_groups(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with all its columns, of each group of similar texts the row with
     the smallest id.  A row is named by id and text; the key table of rows to
-    drop is broadcast only within a counted size."""
+    drop is broadcast only within a counted size.  Where a group has no id, or
+    several rows with its smallest id, all of these stay."""
     scratch = Scratch(docs.sparkSession, "similar")
     groups = similar_groups(docs, id_col, text_col, scratch=scratch, **how)
     gone = scratch.stage(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tag").distinct(), "gone")
-    named = docs.withColumns({"vg_id": F.col(id_col), "vg_tag": F.xxhash64(F.col(text_col))})
-    gone = keyed(gone)
-    left = named.join(gone, null_safe(named, gone, [("vg_id", "doc_id"), ("vg_tag", "tag")]), "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without_rows(docs, {"doc_id": F.col(id_col), "tag": F.xxhash64(F.col(text_col))}, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
