@@ -1,7 +1,12 @@
 """Language, main text, quality, secrets and mixing."""
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from helpers import DOCS, ODD, table
@@ -31,10 +36,68 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(docs.where("false"), nothing).count() == 0
 
 
+def slow_language(text, counts, sizes):
+    """The language by the definition: counts[level][lang][key] of words and n-grams."""
+    words = re.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    langs = sorted(sizes)
+
+    def weights(level, key):
+        floor = 0.5 / max(sum(counts[level][x].values()) for x in langs)
+        logs = [math.log(counts[level][x].get(key, 0) / max(1, sum(counts[level][x].values())) + floor) for x in langs]
+        return [v - sum(logs) / len(langs) for v in logs]
+
+    known = lambda level, key: any(key in counts[level][x] for x in langs)
+    belief = [math.log(sizes[x] / sum(sizes.values())) for x in langs]
+    for word in words:
+        found = weights(0, word) if known(0, word) else [0.0] * len(langs)
+        for level, n in enumerate(langid.GRAMS, 1) if not known(0, word) else ():
+            parts = [g for g in langid.grams(word, n) if known(level, g)]
+            if parts:
+                rows = [weights(level, g) for g in parts]
+                found = [0.7**level * sum(r[k] for r in rows) / len(rows) for k in range(len(langs))]
+                break
+        belief = [b + f for b, f in zip(belief, found, strict=True)]
+    shares = [math.exp(b - max(belief)) for b in belief]
+    return langs[shares.index(1.0)], 1 / sum(shares)
+
+
+def test_language_against_brute_force(spark):
+    draw = random.Random(4)
+    rows = []
+    for k in range(90):
+        lang, parts = [("en", ["th", "ing", "wh", "er"]), ("de", ["sch", "ü", "ung", "er"]), ("hi", ["न", "म", "स्", "ते"])][k % 3 if k < 80 else 0]
+        rows.append((k, " ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(draw.randint(1, 12))), lang, "a", 0))
+    counts = [{x: Counter() for x in ("de", "en", "hi")} for _ in range(1 + len(langid.GRAMS))]
+    sizes = Counter(r[2] for r in rows)
+    for _, text, lang, *_ in rows:
+        for word in re.findall(r"\p{L}[\p{L}\p{M}]*", text):
+            counts[0][lang][word] += 1
+            for level, n in enumerate(langid.GRAMS, 1):
+                counts[level][lang].update(langid.grams(word, n))
+    unseen = [(900, "unsch whernt ungwhü नमस", None, "a", 0), (901, "zzz", None, "a", 0), (902, "½ ² Ⅷ ① 7", None, "a", 0), (903, "ungth नते er", None, "a", 0)]
+    model = langid.fit(table(spark, rows))
+    got = {r.doc_id: r for r in langid.identify(table(spark, rows + unseen), model).collect()}
+    for doc_id, text, *_ in rows + unseen:
+        lang, score = slow_language(text, counts, sizes)
+        assert (got[doc_id].lang_pred, got[doc_id].score) == (lang, pytest.approx(score, abs=1e-4)), text
+    assert got[902].lang_pred == "und"
+
+
+def test_no_entry_is_dropped(spark):
+    """A language with few short texts keeps all of its words beside a large one."""
+    rows = [(k, " ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}{chr(97 + k // 26)}" for j in range(26)), "en", "a", 0) for k in range(300)]
+    rows.append((999, "ŝaĝulo", "eo", "a", 0))
+    model = langid.fit(table(spark, rows))
+    assert set(model.levels[0].index) == {w for r in rows for w in r[1].split()}
+    assert [r.lang_pred for r in langid.identify(table(spark, rows[-1:]), model).collect()] == ["eo"]
+
+
 def test_backoff_by_definition():
-    words = langid._table([("haus", {"de": 9, "en": 1})], {"de": 10, "en": 10}, ["de", "en"])
+    words = langid._table(["haus"], np.array([[9.0, 1.0]]))
     empty = langid.Table({}, np.zeros((0, 2), np.float32))
-    grams = langid._table([("au", {"de": 5})], {"de": 5, "en": 5}, ["de", "en"])
+    grams = langid._table(["au"], np.array([[5.0, 0.0]]))
     model = langid.Model(["de", "en"], np.log([0.5, 0.5]), [words, empty, empty, empty, grams, empty])
     one = lambda text: model.predict([langid.word_counts(text)])[0]
     assert one("Haus")[0] == "de"
@@ -43,6 +106,7 @@ def test_backoff_by_definition():
     texts = ["Haus xyz laut", "", "laut laut"]
     assert model.predict([langid.word_counts(t) for t in texts]) == [one(t) for t in texts]
     assert langid.grams("ab", 3) == ["^ab", "ab$"] and langid.grams("ab", 1) == ["a", "b"]
+    assert langid.word_counts("½ ² Ⅷ ① 12") == {} and set(langid.word_counts("नमस्ते")) == {"नमस्ते"}
 
 
 # --- main text ----------------------------------------------------------------------

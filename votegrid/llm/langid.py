@@ -4,13 +4,15 @@ A known word scores its log frequency in each language.  An unseen word falls ba
 to its longest known character n-grams, then to shorter ones, down to letters.
 A document's language is the one with the highest mean score.
 
-Counting covers a bounded number of labelled documents of each language; the
-model's size is bounded by the number of entries it keeps.
+Counting covers a bounded number of labelled documents of each language; every word
+and n-gram that occurs in them is in the model.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,11 +25,21 @@ from pyspark.sql import functions as F
 from votegrid.llm.common import python_ready
 from votegrid.storage import Scratch
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Labelled documents counted for each language, about.
-SAMPLE_DOCS = 4_000
-#: Most frequent words, and n-grams of each length, that the model keeps.
-MAX_WORDS, MAX_GRAMS = 100_000, 30_000
+
+#: The first letter of each character's Unicode category.
+_KINDS = "".join(unicodedata.category(chr(k))[0] for k in range(sys.maxunicode + 1))
+
+
+def _class_of(kinds: str) -> str:
+    """The ranges of all characters whose Unicode category begins with one of ``kinds``."""
+    return "".join(f"{chr(m.start())}-{chr(m.end() - 1)}" for m in re.finditer(f"[{kinds}]+", _KINDS))
+
+
+#: A word: a letter, then letters and the marks that belong to them.
+LETTERS = re.compile(f"[{_class_of('L')}][{_class_of('LM')}]*")
+_PLAIN = re.compile("[a-z]+")
+#: Labelled documents counted for each language, about: the bound of the model's size.
+SAMPLE_DOCS = 2_000
 GRAMS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: A level of backoff counts a little less than the one above it.
@@ -36,7 +48,8 @@ UNKNOWN = "und"
 
 
 def word_counts(text: str | None) -> Counter:
-    return Counter(LETTERS.findall((text or "").lower()))
+    text = (text or "").lower()
+    return Counter((_PLAIN if text.isascii() else LETTERS).findall(text))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -107,31 +120,35 @@ class Model:
                 continue
             at = [known[w] if w in known else row[w] for w in counts]
             times = np.fromiter(counts.values(), np.float64, len(counts))
-            seen = float(times.sum())
-            # words of one text depend on each other: at most 50 count as independent
-            belief = self.prior + times @ scores[at] / seen * min(seen, 50.0)
+            belief = self.prior + times @ scores[at]
             belief = np.exp(belief - belief.max())
             best = int(belief.argmax())
             out.append((self.languages[best], float(belief[best] / belief.sum())))
         return out
 
 
-def _table(rows: list[tuple[str, dict[str, int]]], totals: dict[str, int], languages: list[str]) -> Table:
-    counts = np.array([[by.get(x, 0) for x in languages] for _, by in rows], dtype=float).reshape(-1, len(languages))
-    whole = np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
+def _table(keys: list[str], counts: np.ndarray) -> Table:
+    """From a row of counts by language for each key."""
+    whole = np.maximum(counts.sum(axis=0), 1.0)
     # one floor for all languages: not to have seen a word says least where little was seen
-    scores = np.log(counts / whole + SMOOTHING / whole.max())
+    scores = np.log(counts / whole + SMOOTHING / whole.max(initial=1.0))
     scores -= scores.mean(axis=1, keepdims=True)
-    return Table({key: k for k, (key, _) in enumerate(rows)}, scores.astype(np.float32))
+    return Table({key: k for k, key in enumerate(keys)}, scores.astype(np.float32))
 
 
-def _top(counts: DataFrame, most: int) -> list[tuple[str, dict[str, int]]]:
-    """The most frequent keys with their counts by language; at most ``most`` reach the driver."""
-    whole = (
-        counts.groupBy("key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .orderBy(F.desc("all"), "key").limit(most)
-    )
-    return [(r.key, r.by) for r in whole.select("key", "by").collect()]
+def _tables(found: pa.Table, languages: list[str], levels: int) -> list[Table]:
+    """A table for each level of ``level, lang, key, n`` rows, in arrays throughout."""
+    level = found["level"].to_numpy()
+    lang = np.searchsorted(np.array(languages, object), found["lang"].to_numpy(zero_copy_only=False))
+    tables = []
+    for k in range(levels):
+        here = np.flatnonzero(level == k)
+        coded = found["key"].take(pa.array(here)).combine_chunks().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        counts = np.zeros((len(keys), len(languages)))
+        np.add.at(counts, (coded.indices.to_numpy(), lang[here]), found["n"].to_numpy()[here])
+        tables.append(_table(keys, counts))
+    return tables
 
 
 def fit(
@@ -140,12 +157,11 @@ def fit(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     sample_docs: int = SAMPLE_DOCS,
-    max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS,
     scratch: Scratch | None = None,
 ) -> Model:
     """Learn from rows with a language.  Where a language has more than
-    ``sample_docs`` rows, a share chosen by a hash of the id is counted."""
+    ``sample_docs`` rows, a share chosen by a hash of the id is counted; all words
+    and n-grams of these reach the driver and, in the model, every worker."""
     spark = docs.sparkSession
     python_ready(spark)
     scratch = scratch or Scratch(spark, "langid")
@@ -174,22 +190,16 @@ def fit(
         .groupBy("lang", "key").agg(F.sum("n").alias("n")),
         "words",
     )
-
-    def gram_counts(n: int) -> DataFrame:
+    counted = words.select(F.lit(0).alias("level"), "lang", "key", "n")
+    for k, n in enumerate(GRAMS, 1):
         marked = F.concat(F.lit("^"), "key", F.lit("$")) if n > 1 else F.col("key")
-        spots = F.sequence(F.lit(1), F.length("marked") - (n - 1))
-        return (
-            words.withColumn("marked", marked).where(F.length("marked") >= n)
-            .select("lang", "n", F.explode(F.transform(spots, lambda k: F.substring(F.col("marked"), k, F.lit(n)))).alias("key"))
-            .groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        spots = F.expr(f"transform(sequence(1, length(marked) - {n - 1}), at -> substring(marked, at, {n}))")
+        counted = counted.unionByName(
+            words.withColumn("marked", marked).where(F.length("marked") >= n).select(F.lit(k).alias("level"), "lang", F.explode(spots).alias("key"), "n")
         )
-
-    levels = []
-    for table, most in [(words, max_words), *((scratch.stage(gram_counts(n), f"grams{n}"), max_grams) for n in GRAMS)]:
-        totals = {r.lang: r.n for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        levels.append(_table(_top(table, most), totals, languages))
+    found = counted.groupBy("level", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float) / sum(sizes.values()))
-    return Model(languages, prior, levels)
+    return Model(languages, prior, _tables(found, languages, 1 + len(GRAMS)))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     python_ready(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample learnt from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
