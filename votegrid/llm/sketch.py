@@ -3,13 +3,17 @@
 A sketch retains every shingle hash below a fixed fraction of the hash range.
 Sketches of any two texts can be merged by union, and the share of the smaller
 one that the larger one holds estimates containment however unequal they are.
+Of short texts, of which a fraction would be little or nothing, every hash is
+retained; two such texts are compared by all of them.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,10 @@ from votegrid.llm.common import python_ready
 from votegrid.llm.simhash import shingle_hashes
 
 WORDS, FRACTION, SEED = 5, 0.25, 42
+#: Of texts with fewer distinct shingles all are retained.
+SHORT = 64
+#: Keys sampled for each bound of a partition.
+SAMPLED = 30
 
 _OUT = (
     "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, "
@@ -27,37 +35,62 @@ _OUT = (
 )
 
 
-def sketch(text: str | None, words: int = WORDS, fraction: float = FRACTION, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct upper halves of the 64-bit hashes below the threshold."""
-    limit = np.uint64(int(fraction * 2**32))
-    kept = [np.empty(0, np.uint64)]
+class Sketch(NamedTuple):
+    """Sorted distinct upper halves of 64-bit shingle hashes; ``whole`` if no
+    threshold was applied."""
+
+    values: np.ndarray
+    whole: bool
+
+    def below(self, fraction: float) -> np.ndarray:
+        """What lies below the threshold."""
+        return self.values[: np.searchsorted(self.values, _limit(fraction))]
+
+
+def _limit(fraction: float) -> int:
+    return int(fraction * 2**32)
+
+
+def sketch(text: str | None, words: int = WORDS, fraction: float = FRACTION, seed: int = SEED) -> Sketch:
+    """The sketch of a whole text."""
+    every, kept = np.empty(0, np.uint64), []
     for block in shingle_hashes(text, words, seed):
-        upper = block >> np.uint64(32)
-        kept.append(np.unique(upper[upper < limit]))
-    return np.unique(np.concatenate(kept)).astype("<u4")
+        found = np.unique(block >> np.uint64(32))
+        if len(every) < SHORT:
+            every = np.union1d(every, found) if len(every) else found
+        kept.append(found[: np.searchsorted(found, np.uint64(_limit(fraction)))])
+    if len(every) < SHORT:
+        return Sketch(every.astype("<u4"), True)
+    return Sketch((kept[0] if len(kept) == 1 else np.unique(np.concatenate(kept))).astype("<u4"), False)
 
 
-def encode(values: np.ndarray) -> str:
-    return base64.b64encode(values.tobytes()).decode()
+def encode(found: Sketch) -> str:
+    return ("w" if found.whole else "s") + base64.b64encode(found.values.tobytes()).decode()
 
 
-def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4")
+def decode(fingerprint: str) -> Sketch:
+    return Sketch(np.frombuffer(base64.b64decode(fingerprint[1:]), dtype="<u4"), fingerprint[0] == "w")
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: Sketch, b: Sketch, fraction: float = FRACTION) -> Sketch:
     """The sketch of both texts together."""
-    return np.union1d(a, b)
+    if a.whole and b.whole:
+        return Sketch(np.union1d(a.values, b.values), True)
+    return Sketch(np.union1d(a.below(fraction), b.below(fraction)), False)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the larger one has.
+def containment(a: Sketch, b: Sketch, fraction: float = FRACTION) -> float:
+    """Estimated share of the smaller text's shingles that the larger one has; 0 where
+    one of the two has nothing to compare."""
+    one, two = (a.values, b.values) if a.whole and b.whole else (a.below(fraction), b.below(fraction))
+    least = min(len(one), len(two))
+    return len(np.intersect1d(one, two, assume_unique=True)) / least if least else 0.0
 
-    Two empty sketches cannot be told apart by shingles and count as 0; callers
-    that know the texts to be equal say 1 themselves.
-    """
-    least = min(len(a), len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / least if least else 0.0
+
+def likeness(a: Sketch, b: Sketch, fraction: float = FRACTION) -> float:
+    """1 for equal fingerprints, those of two texts without words too; else the containment."""
+    same = a.whole == b.whole and np.array_equal(a.values, b.values)
+    return 1.0 if same else containment(a, b, fraction)
 
 
 def sketches(text: Column) -> Column:
@@ -76,55 +109,53 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _bucket(value: Column, bounds: list) -> Column:
-    """How many of ``bounds`` are below ``value``, as a balanced tree of comparisons."""
+def _key(doc_id, text_hash: int) -> tuple:
+    """The place of a row in the order of all: nulls first, then by id and text hash."""
+    return doc_id is not None, doc_id, text_hash
 
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(value <= F.lit(bounds[mid]), tree(a, mid)).otherwise(tree(mid + 1, b))
 
-    return F.when(value.isNull(), 0).otherwise(tree(0, len(bounds) - 1))
+def _bounds(keys: DataFrame, buckets: int) -> list[tuple]:
+    """Keys that cut all rows into at most ``buckets`` parts, none of them empty, from
+    a sample of some tens a part.  Where they lie changes no result."""
+    step = max(1, keys.count() // (buckets * SAMPLED))
+    some = keys.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(step)) == 0).distinct().collect()
+    ordered = sorted(_key(r.doc_id, r.h) for r in some)
+    # a part holds the key at its upper end, the last one the last key of the sample
+    return sorted({ordered[k * len(ordered) // buckets] for k in range(1, buckets)} - {ordered[-1]}) if ordered else []
 
 
-def with_successor(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame | None:
-    """Rows in ascending id order per partition, each partition closed by the row
-    that follows it (``closing`` = 1; after the last, the first).
+def with_successor(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Rows in ascending order of (id, text hash) per partition, each partition closed
+    by the row that follows it (``closing`` = 1; after the last, the first).
 
-    The texts are shuffled once.  Bucket bounds are quantiles of the ids, at most
-    ``buckets`` of them, and each is an id that occurs: no bucket is empty.
+    The texts are shuffled once.  An id of any number of rows is spread over
+    partitions; only rows that agree in id and text stay together.
     """
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    steps = [(k + 1) / buckets for k in range(buckets)]
-    found = ids.agg(
-        F.percentile_approx("doc_id", steps, 10_000).alias("q"), F.max("doc_id").alias("top"),
-        F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"),
-    ).first()
-    if not found.n:
-        return None
-    bounds = sorted({*(found.q or []), *([found.top] if found.known else [])}) or [0]
-    bucket = _bucket(F.col("doc_id"), bounds)
-    heads = {
-        r.bucket: r.head
-        for r in ids.where("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("head")).collect()
-    }
-    if found.known < found.n:  # nulls come first
-        heads[0] = None
-    first = F.coalesce(F.col("doc_id").isin([h for h in heads.values() if h is not None]), F.lit(False))
-    if found.known < found.n:
-        first = first | F.col("doc_id").isNull()
-    ending = F.when(F.col("bucket") == 0, len(bounds) - 1).otherwise(F.col("bucket") - 1)
-    here = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("closing"))
-    there = F.struct(ending.alias("at"), F.lit(1).alias("closing"))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    bounds = _bounds(rows.select("doc_id", "h"), buckets)
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_left(bounds, _key(a, b)) for a, b in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)], pa.int32())
+
+    known = F.col("doc_id").isNotNull()
+    least = rows.select("doc_id", "h", part("doc_id", "h").alias("at")).groupBy("at").agg(F.min(F.struct(known, "doc_id", "h")).alias("key")).collect()
+    heads, last = {_key(r.key.doc_id, r.key.h) for r in least}, len(bounds)
+
+    @F.arrow_udf("array<struct<at:int,closing:int>>")
+    def routes(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        found = []
+        for a, b in zip(ids.to_pylist(), hashes.to_pylist(), strict=True):
+            at = bisect.bisect_left(bounds, key := _key(a, b))
+            found.append([{"at": at, "closing": 0}, *([{"at": at - 1 if at else last, "closing": 1}] if key in heads else [])])
+        return pa.array(found, pa.list_(pa.struct([("at", pa.int32()), ("closing", pa.int32())])))
+
     return (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-        .withColumn("bucket", bucket)
-        .withColumn("route", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))))
-        .select("doc_id", "text", "route.at", "route.closing")
-        .repartitionById(len(bounds), F.col("at"))
-        .sortWithinPartitions("at", "closing", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+        rows.withColumn("route", F.explode(routes("doc_id", "h")))
+        .select("doc_id", "text", "route.at", "route.closing", "h")
+        .repartitionById(last + 1, F.col("at"))
+        .sortWithinPartitions("at", "closing", F.col("doc_id").asc_nulls_first(), "h")
     )
 
 
@@ -144,8 +175,10 @@ def fingerprints(
     * Rows of one id follow each other in the order of their texts' hashes;
       repeated rows are each other's next document.
     * A table of one row is its own next document; an empty one gives no rows.
-    * Likeness is 1 for equal texts, else the containment of the sketches; it is 0
-      where a text is so short that nothing of it falls below the threshold.
+    * Likeness is that of the fingerprints: 1 if they are equal, else the containment.
+      Texts without words have equal fingerprints; beside a text with words they
+      have likeness 0, as has a very short one of which nothing falls below the
+      threshold beside a long one.
     * Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -153,12 +186,6 @@ def fingerprints(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = _OUT.format(kind=kind)
     ordered = with_successor(docs, id_col, text_col, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if ordered is None:
-        return spark.createDataFrame([], schema)
-
-    def likeness(a: str, b: str, x: np.ndarray, y: np.ndarray) -> float:
-        return 1.0 if a == b else containment(x, y)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose successor is awaited
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -175,7 +202,7 @@ def fingerprints(
                     other = sketch(changed, words, fraction, seed)
                     out.append((
                         key, len(old), hashlib.sha256(changed.encode()).hexdigest(), encode(seen), encode(other),
-                        likeness(old, changed, seen, other), likeness(old, text, seen, mine),
+                        likeness(seen, other, fraction), likeness(seen, mine, fraction),
                     ))
                 held = None if closing.as_py() else (doc_id.as_py(), text, mine)
             columns = list(zip(*out, strict=True)) if out else [()] * 7

@@ -1,24 +1,27 @@
 """WARC archives of pages, and their index by external merge.
 
 Tasks write gzip archives (one member per record) to the shared folder and leave
-a run of index lines sorted by URL key and time.  Runs are dealt by key range and
-every range is merged from its pieces of all runs with a loser tree, which gives
-a globally ordered index of capture histories.  Archives are then read back.
+a run of index lines sorted by URL key and time.  Runs are dealt by key range, as
+many ranges as it takes for each to be small; every range is merged from its sorted
+pieces of all runs with a loser tree, which gives a globally ordered index of capture
+histories.  Archives are then read back, a task for each.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from votegrid.llm.common import keyed, python_ready
@@ -27,16 +30,26 @@ from votegrid.storage import Scratch
 #: Captures carry no time of their own here: one second per page id from this on.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 _READ = 1 << 20
+#: Index lines of one range, about: what a task of the merge holds.
+RANGE_LINES = 100_000
+#: Rows that a task hands on at a time.
+_ROWS = 4_096
 _INDEX = "archive string, offset long, size long, url_key string, stamp string, page_id {kind}, seq long"
 _RECORD = "archive string, offset long, page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
 
 
+#: Parts of a URL; it matches every text, so that no URL is too odd to have a key.
+_URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)([^?#]*)(\?[^#]*)?")
+_SPACE = " \t\n\v\f\r"
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def url_key(url: str | None) -> str:
-    """Sort-friendly form: host labels reversed, then path and query, lower case."""
-    parts = urlsplit((url or "").strip())
-    host = (parts.hostname or "").removeprefix("www.")
-    query = f"?{parts.query}" if parts.query else ""
-    return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{query}".lower()
+    """Sort-friendly form of any text: host labels reversed, without user, port and
+    www, then path (at least a slash) and query; A-Z in lower case."""
+    place, path, query = _URL.match((url or "").strip(_SPACE).translate(_LOWER)).groups()
+    host = re.sub(r":[0-9]*$", "", place.rpartition("@")[2]).removeprefix("www.")
+    return f"{','.join(reversed(host.split('.')))}){path or '/'}{query or ''}"
 
 
 def digest(payload: bytes) -> str:
@@ -181,64 +194,64 @@ def write_archives(pages: DataFrame, folder: str, id_col: str, url_col: str, htm
     return scratch.stage(source.mapInArrow(run, _INDEX.format(kind=kind)), "runs")
 
 
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, some thousands at a time."""
+    while some := list(itertools.islice(rows, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+
 def merge_index(runs: DataFrame, ranges: int) -> DataFrame:
-    """The runs merged by URL key, time and page id: ``range_no`` and ``line_no``
-    give the global order.  A URL captured very often spans several ranges."""
+    """The staged runs merged by URL key, time and page id: ``range_no`` and
+    ``line_no`` give the global order.  A URL captured very often spans several ranges."""
     kind = runs.schema["page_id"].dataType.simpleString()
-    dealt = runs.repartitionByRange(ranges, "url_key", "stamp", "page_id", "archive", "offset")
+    # a range's piece of each run arrives whole and in the order of its run
+    dealt = runs.repartitionByRange(ranges, "url_key", "stamp", "page_id", "archive", "offset").sortWithinPartitions("archive", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple]] = {}
+        pieces: dict[str, list[tuple]] = {}
         schema = None
         for batch in batches:
             schema = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 archive, offset, _, key, stamp, page_id, _ = row
-                parts.setdefault(archive, []).append((key, stamp, page_id is not None, page_id or 0, archive, offset, row))
+                pieces.setdefault(archive, []).append((key, stamp, page_id is not None, page_id or 0, archive, offset, row))
         if schema is None:
             return
-        for part in parts.values():  # back in the order of its task: a shuffle may mix its blocks
-            part.sort(key=lambda x: x[-1][-1])
-        merged = [x[-1] for x in LoserTree([iter(p) for p in parts.values()])]
         number = TaskContext.get().partitionId()
-        columns = [pa.array(c, schema.field(k).type) for k, c in enumerate(zip(*merged, strict=True))]
-        columns += [pa.array([number] * len(merged), pa.int32()), pa.array(range(len(merged)), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [*schema.names, "range_no", "line_no"])
+        merged = ((*x[-1], number, n) for n, x in enumerate(LoserTree([iter(p) for p in pieces.values()])))
+        yield from _batches(merged, [*schema.names, "range_no", "line_no"], [*[f.type for f in schema], pa.int32(), pa.int64()])
 
     return dealt.mapInArrow(run, _INDEX.format(kind=kind) + ", range_no int, line_no long")
 
 
-def read_archives(runs: DataFrame, folder: str) -> DataFrame:
-    """Records of every archive named in ``runs``; digests are checked."""
+def read_archives(runs: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
+    """Records of every archive named in ``runs``, a task for each; digests are checked."""
     kind = runs.schema["page_id"].dataType.simpleString()
-    names = runs.select("archive").distinct()
-    spread = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.row_number().over(Window.orderBy("archive")) - 1  # a row for each task that wrote
+    names = scratch.stage(runs.select("archive").distinct().select("archive", number.alias("number")), "names")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(name: str) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder)
-        cast = pa.array([], pa.int64())
+        with store.open_input_stream(f"{top}/{name}", compression=None) as source:
+            for offset, raw in read_members(source):
+                fields, http, payload = parse_record(raw)
+                found = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                if fields["WARC-Type"] == "response" and (digest(payload) != found or len(payload) != int(http["Content-Length"])):
+                    raise ValueError(f"{name} is damaged at {offset}")
+                page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page-ID", "")
+                yield name, offset, int(page) if page else None, int(http["Content-Length"]), found, fields["WARC-Type"], int(refers) if refers else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        columns = ["archive", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = []
-                with store.open_input_stream(f"{top}/{name}", compression=None) as source:
-                    for offset, raw in read_members(source):
-                        fields, http, payload = parse_record(raw)
-                        again = fields["WARC-Type"] == "revisit"
-                        found = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if not again and (digest(payload) != found or len(payload) != int(http["Content-Length"])):
-                            raise ValueError(f"{name} is damaged at {offset}")
-                        page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page-ID", "")
-                        rows.append((
-                            name, offset, int(page) if page else None, int(http["Content-Length"]), found, fields["WARC-Type"],
-                            int(refers) if refers else None,
-                        ))
-                types = [pa.string(), pa.int64(), cast.type, pa.int64(), pa.string(), pa.string(), cast.type]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["archive", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return names.repartition(spread, "archive").mapInArrow(run, _RECORD.format(kind="long")).select(
+                yield from _batches(records(name), columns, types)
+
+    dealt = names.repartitionById(max(1, names.count()), F.col("number")).select("archive")
+    return dealt.mapInArrow(run, _RECORD.format(kind="long")).select(
         "archive", "offset", F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind)
     )
 
@@ -253,13 +266,15 @@ def archive_pages(
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """Write, index and read back: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url_key, stamp, range_no, line_no, archive``.
+    record_type, refers_to, url_key, stamp, index_line, archive``; ``index_line``
+    numbers the captures from 0 in the global order of the merged index.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with
     the largest page id is the response, the others revisit it.
 
-    * Null html: empty payload.  Null url: empty key.  Null page id: below all
-      others; a group of null ids only is all responses.
+    * Null html: empty payload.  Null url: the key of an empty one.  Any text is a
+      URL with a key.  Null page id: below all others; a group of null ids only is
+      all responses.
     * Repeated rows with the largest id of their group are all responses.
     * Empty table: no archive, empty result.  Extra columns are ignored.
     * Page ids are integers.
@@ -269,18 +284,24 @@ def archive_pages(
     scratch = scratch or Scratch(spark, "warc")
     folder = scratch.path("archives")
     runs = write_archives(pages, folder, id_col, url_col, html_col, min_bytes, scratch)
-    index = merge_index(runs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = index.select(F.col("archive").alias("i_archive"), F.col("offset").alias("i_offset"), "url_key", "stamp", "range_no", "line_no")
-    back = read_archives(runs, folder)
-    return back.join(index, (F.col("archive") == F.col("i_archive")) & (F.col("offset") == F.col("i_offset"))).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "range_no", "line_no", "archive"
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_LINES))
+    index = scratch.stage(merge_index(runs, ranges), "index")
+    # a row per range
+    first = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = index.groupBy(F.col("range_no").alias("range")).agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(first, F.lit(0)).alias("first"))
+    lines = index.join(keyed(scratch.stage(starts, "starts")), F.col("range_no") == F.col("range")).select(
+        F.col("archive").alias("i_archive"), F.col("offset").alias("i_offset"), "url_key", "stamp", (F.col("first") + F.col("line_no")).alias("index_line")
+    )
+    # written, so that Spark knows the sizes of both sides before it joins them
+    back = scratch.stage(read_archives(runs, folder, scratch), "records")
+    return back.join(lines, (F.col("archive") == F.col("i_archive")) & (F.col("offset") == F.col("i_offset"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "index_line", "archive"
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per row of ``pages``, written and read back."""
-    found = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0).drop("archive")
 
 
 def _base32_sql(digest: str) -> str:
@@ -292,10 +313,20 @@ def _base32_sql(digest: str) -> str:
     return " || ".join(parts)
 
 
+_HEAD_SQL = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?"
 SQL = f"""
-WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS s FROM pages),
-g AS (SELECT s, max(page_id) AS keep FROM d GROUP BY s)
-SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_base32_sql('d.s')} AS payload_digest,
-       CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to
-FROM d JOIN g ON g.s = d.s
+WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS s,
+                  translate(trim(coalesce(url, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM pages),
+g AS (SELECT s, max(page_id) AS keep FROM d GROUP BY s),
+p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '{_HEAD_SQL}([^/?#]*)', 1),
+                  '(?s)^.*@', ''), ':[0-9]*$', ''), '^www[.]', '') AS host,
+             regexp_extract(u, '{_HEAD_SQL}[^/?#]*([^?#]*)', 1) AS path,
+             regexp_extract(u, '{_HEAD_SQL}[^/?#]*[^?#]*([?][^#]*)', 1) AS query,
+             strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id % {20 * 365 * 86400}), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM d),
+k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_base32_sql('k.s')} AS payload_digest,
+       CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to,
+       url_key, stamp, row_number() OVER (ORDER BY url_key, stamp, page_id) - 1 AS index_line
+FROM k JOIN g ON g.s = k.s
 """
