@@ -156,8 +156,145 @@ def test_smoothing_and_threshold():
     values = np.array([0.0, 0, 90, 80, 0, 70, 0, 0])
     assert html_text.smooth(values, 1.0).sum() == pytest.approx(values.sum(), rel=0.15)
     assert (html_text.smooth(values, 0) == values).all()
-    lines = [html_text._Line("x" * n, 1, 0, (), False) for n in (2, 3, 200, 180, 5, 160, 2, 2)]
-    assert html_text.content_lines(lines, 1.0, 1.0) == [False, True, True, True, True, True, True, False]
+    lines = [html_text._Line("x" * n, 1, 0, 0, "p") for n in (2, 3, 200, 180, 5, 160, 2, 2)]
+    assert html_text.content_lines(lines, [True] * 8, 1.0, 1.0) == [False, True, True, True, True, True, True, False]
+    assert html_text.content_lines(lines, [k != 3 for k in range(8)], 1.0, 1.0)[3] is False
+    assert html_text.content_lines(lines, [False] * 8, 1.0, 0.0) == [True] * 8
+
+
+LONG = "A paragraph of the article goes on for quite a while and says what it has to say."
+TEMPLATES = {  # page, main text
+    "form around": (f"<body><form id=f><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article><button>Go</button></form></body>", f"Title\n\n{LONG}\n\n{LONG}"),
+    "header inside": (f"<body><header><h1>Site name</h1></header><article><header><h1>Title</h1></header><p>{LONG}</p><footer>Tags</footer></article></body>", f"Title\n\n{LONG}"),
+    "classes that only look like marks": (f"<main><p class='share-holders'>{LONG}</p><p class=search-engine>{LONG} 2</p><h2 id=related-work>More</h2><section id=social-impact><p>{LONG} 3</p></section></main>", f"{LONG}\n\n{LONG} 2\n\nMore\n\n{LONG} 3"),
+    "marked wrapper": (f"<body><div class=widget-area><h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div class='widget'>Weather</div></body>", f"Title\n\n{LONG}\n\nShort.\n\n{LONG}"),
+    "sections": (f"<article><section class=content><p>{LONG}</p></section><section><h2>B</h2><p>{LONG}</p></section></article><aside>{LONG}</aside>", f"{LONG}\n\nB\n\n{LONG}"),
+    "no container": (f"<ul class=menu><li><a href=/>Home</a><li><a href=/x>X</a></ul><h1>Title</h1><p>{LONG}<p>Be.<p>{LONG}<p>The end.<div><a href=1>one</a> <a href=2>two</a></div><div class=footer>{LONG}</div>", f"Title\n\n{LONG}\n\nBe.\n\n{LONG}\n\nThe end."),
+    "long discussion": (f"<article><p>{LONG}</p></article><div class=comment-list>" + f"<p>{LONG} I think.</p>" * 20 + "</div>", LONG),
+    "inline controls": (f"<article><p>{LONG} <button>Like</button>And <svg><title>x</title></svg>on.</p></article>", f"{LONG} And on."),
+    "table layout": (f"<table><tr><td class=sidebar>Links</td><td><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></td></tr></table>", f"{LONG}\n\n{LONG}\n\n{LONG}"),
+    "unclosed head": (f"<html><head><title>t</title><meta charset=x><p>{LONG}</p>", LONG),
+    "only links": ("<nav><a href=1>Menu</a></nav><p><a href=2>Read</a></p>", "Read"),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_templates(name):
+    page, text = TEMPLATES[name]
+    assert html_text.extract(page) == text
+
+
+def test_the_threshold_decides():
+    """Taking every line as content changes every page that has more than its article."""
+    for page, text in [*TEMPLATES.values(), (PAGE % "<article><p>x</p></article>", "x")]:
+        if re.search("nav|header>|footer|aside|comment|menu|sidebar|widget'", page):
+            assert html_text.extract(page, threshold=0.0) != text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for depth in (4_000, 32_000):
+        page = "<div>" * depth + f"<p>{LONG}</p>" * 50 + "<b>" * depth + "<p>x" * 10
+        began = time.process_time()
+        assert LONG in html_text.extract(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5  # quadratic: 64 times
+
+
+def random_page(draw, depth=0):
+    """A tree of (tag, attribute, children) and texts."""
+    kids = []
+    for _ in range(draw.randint(1, 4)):
+        kind = draw.random()
+        if kind < 0.5 or depth > 3:
+            words = " ".join(draw.choice(("alpha", "be", "gamma", "de")) for _ in range(draw.choice((1, 2, 15, 40))))
+            kids.append((draw.choice(("p", "p", "h2")), "", [("a", "", [words])] if draw.random() < 0.15 else [words]))
+        else:
+            tag = draw.choice(("div", "div", "section", "article", "nav", "aside", "form", "footer", "main"))
+            kids.append((tag, draw.choice(("", "", "", "comments", "widget-area", "share-holders", "post-content", "ad")), random_page(draw, depth + 1)))
+    return kids
+
+
+def written(kids):
+    return "".join(k if isinstance(k, str) else f"<{k[0]}{f' class={k[1]}' * bool(k[1])}>{written(k[2])}</{k[0]}>" for k in kids)
+
+
+def slow_extract(page):
+    """The rules on the tree itself, each line with the set of elements above it."""
+    lines, marks, names, paths, order = [], {}, {}, {}, []
+    boxes = ("div", "section", "article", "main", "form")
+
+    def walk(kids, path):
+        for kid in kids:
+            tag, name, below = kid
+            if tag in ("p", "h2"):
+                linked = not isinstance(below[0], str)
+                text = below[0][2][0] if linked else below[0]
+                lines.append([text, 1 + 2 * linked, len(text) if linked else 0, path, tag])  # end tags count
+                continue
+            mark = 2 if tag in ("nav", "aside", "footer") or name == "comments" else 0
+            if not mark and tag not in ("article", "main"):
+                mark = int(tag == "form" or name in ("widget-area", "ad"))
+            here = path
+            if tag in boxes or mark:
+                here = (*path, len(order) + 1)
+                order.append(here[-1])
+                paths[here[-1]] = here
+                marks[here[-1]] = mark
+                names[here[-1]] = 2 if tag in ("article", "main") else int(tag in boxes and name == "post-content")
+            walk(below, here)
+
+    walk(page, ())
+    if not lines:
+        return ""
+
+    def content(able):
+        ratio = [max(0, len(t) - linked) / max(1, n) for t, n, linked, _, _ in lines]
+        level = []
+        for k in range(len(lines)):
+            near = [(j, math.exp(-0.5 * (j - k) ** 2)) for j in range(len(lines)) if abs(j - k) <= 3]
+            level.append(able[k] * sum(ratio[j] * w for j, w in near) / sum(w for _, w in near) if len(lines) > 1 else able[k] * ratio[k])
+        mean = sum(level) / len(level)
+        cut = min(math.sqrt(sum((v - mean) ** 2 for v in level) / len(level)), max(level))
+        return [a and v >= cut - 1e-9 for a, v in zip(able, level, strict=True)]
+
+    mass = lambda n, flags: sum(len(x[0]) for x, yes in zip(lines, flags, strict=True) if yes and (n == 0 or n in x[3]))
+    able = [all(marks[n] != 2 for n in x[3]) for x in lines]
+    first = content(able)
+    apart = lambda n: any(marks[m] == 2 for m in paths[n])
+    mains = [n for n in order if names[n] == 2 and not apart(n)]
+    lifted = {n for n in order if marks[n] == 1 and 2 * mass(n, first) >= mass(0, first) and (not mains or any(n in paths[m] for m in mains))}
+    able = [all(marks[n] == 0 or n in lifted for n in x[3]) for x in lines]
+    if not any(able):
+        return ""
+    chosen = content(able)
+    whole = mass(0, chosen)
+    best = next((n for n in order if names[n] == 2 and mass(n, chosen) >= 0.5 * whole), 0)
+    if not best:
+        some = [n for n in order if mass(n, chosen) >= (0.5 if names[n] else 0.8) * whole and (names[n] or sum(n in x[3] for x in lines) > 1)]
+        best = max(some, key=lambda n: (names[n] > 0, n), default=0)
+    able = [a and (best == 0 or best in x[3]) for a, x in zip(able, lines, strict=True)]
+    if not (best and names[best]):
+        prose = [a and 2 * x[2] < len(x[0]) for a, x in zip(able, lines, strict=True)]
+        able = prose if any(prose) else able
+    chosen = content(able)
+    if best and names[best]:
+        return "\n\n".join(x[0] for x, a in zip(lines, able, strict=True) if a)
+    at = [k for k, c in enumerate(chosen) if c]
+    a, b = at[0], at[-1]
+    while a and able[a - 1]:
+        a -= 1
+    while b + 1 < len(lines) and able[b + 1]:
+        b += 1
+    return "\n\n".join(x[0] for k, x in enumerate(lines) if chosen[k] or (a <= k <= b and able[k]))
+
+
+def test_extraction_against_brute_force():
+    for seed in range(400):
+        page = random_page(random.Random(seed))
+        assert html_text.extract(written(page)) == slow_extract(page), (seed, written(page))
 
 
 # --- quality --------------------------------------------------------------------------
