@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votegrid.llm.common import python_ready
+from votegrid.llm.common import held_out, python_ready
 from votegrid.storage import Scratch
 
 
@@ -230,11 +230,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     )
 
 
-def held_out(doc_id: Column) -> Column:
-    """A fifth of the documents by a checksum of their id; a null id counts as ''."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents``; learnt from the documents not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
