@@ -306,9 +306,11 @@ def test_quality_separates_held_out_ratings(spark):
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     model = quality.fit(docs, labels.where(~held), quality.rating_grade(), top=2)
     assert model.thresholds == sorted(model.thresholds)
-    rated = quality.rate(docs, model).join(labels.where(held), "doc_id").select(quality.rating_grade().alias("g"), "vg_accept", "vg_grade").collect()
-    share = lambda g: np.mean([r.vg_accept for r in rated if r.g == g])
-    assert share(0) < 0.05 and share(1) < 0.5 and share(2) > 0.97
+    rated = quality.rate(docs, model).join(labels.where(held), "doc_id").select(
+        quality.rating_grade().alias("g"), "quality", "toxic", "vg_accept", "vg_grade"
+    ).collect()
+    share = lambda q, t: np.mean([r.vg_accept for r in rated if (r.quality, r.toxic) == (q, t)])
+    assert share(1, 0) > 0.98 and share(1, 1) < 0.25 and share(0, 0) < 0.1 and share(0, 1) < 0.05
     grade = lambda g: np.mean([r.vg_grade for r in rated if r.g == g])
     assert grade(0) < grade(1) < grade(2)
 
@@ -323,17 +325,64 @@ def test_quality_without_ratings(spark):
     assert quality.rate(docs.where("false"), quality.Model(np.zeros(1 << quality.BITS), [0.0, 1.0])).count() == 0
 
 
-def test_ordinal_training(monkeypatch):
-    """Grades that marks of poor texts bring down are recovered; tails are ordered."""
-    monkeypatch.setattr(quality, "SCREEN", 0.0)
+def test_screen_keeps_marks_of_either_direction():
+    size = np.array([100, 100, 800])
+    docs = np.array([[60, 2, 10, 1, 50], [5, 40, 10, 1, 50], [30, 10, 80, 0, 700]])  # low, middle, chance, rare, high
+    assert quality.screened(docs, size, quality.LEAST_DOCS, quality.SCREEN).tolist() == [True, True, False, False, True]
+    # against the definition
+    rng = np.random.default_rng(5)
+    docs = rng.binomial(size[:, None], rng.random((3, 200)) ** 3 * np.array([[1], [1], [0.6]]))
+    for f, yes in enumerate(quality.screened(docs, size, 5, 4.5)):
+        every, shares = docs[:, f].sum(), []
+        for k in range(3):
+            rest, p = 1000 - size[k], (every + 1) / 1002
+            shares.append(abs(docs[k, f] / size[k] - (every - docs[k, f]) / rest) / (p * (1 - p) * (1 / size[k] + 1 / rest)) ** 0.5)
+        assert yes == (every >= 5 and max(shares) > 4.5)
+
+
+def slow_likelihood(weights, cuts, rows, grades):
+    total = 0.0
+    for row, g in zip(rows, grades, strict=True):
+        edge = [-math.inf, *cuts, math.inf]
+        s = sum(weights[f] for f in row)
+        total += math.log(max(1e-12, 1 / (1 + math.exp(s - edge[g + 1])) - 1 / (1 + math.exp(s - edge[g]))))
+    return total / len(rows) - quality.RIDGE / 2 * sum(w * w for w in weights.values())
+
+
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_ordinal_training(sign):
+    """Grades that marks bring up or down are recovered; tails are ordered; no small
+    step from the weights or thresholds betters the likelihood by definition."""
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(300)]
-    grades = np.array([max(0, 3 - int(sum(r < 8))) for r in rows]).clip(max=2)
+    grades = np.array([int(sum(r < 8) * sign + (3 if sign < 0 else -1)) for r in rows]).clip(0, 2)
     model = quality.train(rows, grades, 2)
     score = np.array([model.weights[r].sum() for r in rows])
     tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
     assert (tails[0] >= tails[1]).all()
     assert np.corrcoef(tails[0] + tails[1], grades)[0, 1] > 0.8
+    weights = {f: float(model.weights[f]) for f in range(40)}
+    best = slow_likelihood(weights, model.thresholds, rows, grades)
+    for f in range(0, 40, 7):
+        for step in (-0.3, 0.3):
+            assert slow_likelihood({**weights, f: weights[f] + step}, model.thresholds, rows, grades) < best
+    for k in range(2):
+        for step in (-0.3, 0.3):
+            cuts = [t + step * (j == k) for j, t in enumerate(model.thresholds)]
+            assert slow_likelihood(weights, cuts, rows, grades) < best
+
+
+def test_ratings_against_brute_force(spark):
+    """Grades, tails and decisions from the features and weights, one text at a time."""
+    model = quality.Model(np.random.default_rng(2).normal(0, 0.4, 1 << quality.BITS).astype(np.float32), [-0.5, 0.75])
+    docs = table(spark, ODD).withColumns({n: F.lit("mine") for n in (*quality.RESULTS, "vg_score")})
+    for r in quality.rate(docs, model).collect():
+        s = sum(float(model.weights[f]) for f in quality.features(r.text, {}))
+        tails = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert (r["_vg_grade"], r["_vg_tail"]) == (pytest.approx(sum(tails), abs=1e-4), pytest.approx(tails[1], abs=1e-4))
+        assert r["_vg_accept"] == (r["_vg_tail"] >= 0.5) and r.vg_grade == r.vg_score == "mine"
+    assert quality.accepted(docs, model).columns == docs.columns
+    assert quality._shape("abc" * 20 + "X") != quality._shape("abc" * 20 + "9")  # the whole word has a shape
 
 
 # --- secrets ----------------------------------------------------------------------------
@@ -489,10 +538,44 @@ def test_drawn_shares_meet_the_targets(spark):
     for axis, wanted in targets.items():
         for k, share in wanted.items():
             assert shares[axis, k] == pytest.approx(share, abs=1e-3)
+    # what was selected, and not only its expectation, has these shares of tokens too
+    picked = mixed.where("vg_selected").groupBy("vg_lang").agg(F.sum("vg_tokens").alias("n")).collect()
+    assert {r.vg_lang: r.n / sum(x.n for x in picked) for r in picked}["en"] == pytest.approx(0.7, abs=0.03)
     # what a category does not have cannot be drawn: all of it, and the rest in proportion
     assert mixing.feasible(np.array([0.5, 0.3, 0.2]), np.array([20.0, 50.0, 30.0]), 70.0) == pytest.approx([20.0, 30.0, 20.0])
 
 
+def test_every_category_has_its_own_weight(spark):
+    """3,000 sources, one of them called (other), some with targets of their own."""
+    rows = [(i, "w " * (20 + i % 7), "en", "(other)" if i == 0 else f"host{i}", 0) for i in range(3000)]
+    topic = F.lit("t")
+    targets = {"source": {r[3]: 2.0 if i % 2 else 1.0 for i, r in enumerate(rows)}}
+    one, two = (
+        {r.doc_id: (r.vg_weight, r.vg_p) for r in mixing.mix(table(spark, rows, extra=False), targets, topic, draw=0.5, driver_cells=n).collect()}
+        for n in (mixing.CELLS, 100)
+    )
+    assert all(w > 0 and p > 0 for w, p in one.values()) and set(one) == set(two)
+    assert all(one[k] == pytest.approx(two[k], rel=1e-5) for k in one)
+    assert one[1][0] / one[8][0] == pytest.approx(2.0 * (20 + 8 % 7) / (20 + 1 % 7))
+
+
+def test_mixing_tables_bound_like_the_driver(spark):
+    """Infeasible targets too: both ways give the same probabilities."""
+    rows = [(i, "w " * (1 + i % 50), ["en", "de", "fr"][i % 3 if i % 5 else 0], f"s{i % 4 * (i % 6 > 1)}", 0) for i in range(600)]
+    docs = table(spark, rows, extra=False)
+    targets = {"lang": {"fr": 0.6, "en": 0.2, "de": 0.2}}
+    one, two = ({r.doc_id: r.vg_p for r in mixing.mix(docs, targets, draw=0.85, driver_cells=n).collect()} for n in (mixing.CELLS, 0))
+    assert max(one.values()) == 1.0 and all(one[k] == pytest.approx(two[k], abs=1e-3) for k in one)
+
+
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    docs = table(spark, ODD).withColumns({n: F.lit("mine") for n in (*mixing.RESULTS, "cell_p")})
+    got = mixing.mix(docs).collect()
+    assert all(r[n] == "mine" for r in got for n in (*mixing.RESULTS, "cell_p")) and all(0 <= r["_vg_p"] <= 1 for r in got)
+    left = mixing.drawn(docs)
+    assert left.columns == docs.columns and all(r.vg_selected == "mine" for r in left.collect())
+
+
 def test_all_sections_of_an_article_are_kept():
     part = lambda k: " ".join(f"Part {k} tells of this and that at length, sentence {i}." for i in range(12))
     page = (

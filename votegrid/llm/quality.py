@@ -18,20 +18,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votegrid.llm.common import keyed, python_ready
+from votegrid.llm.common import keyed, python_ready, unused
 from votegrid.storage import Scratch
 
-BITS = 18
+BITS = 20
 #: Rated documents learnt from, about.
 SAMPLE_DOCS = 8_000
-STEPS, RATE, RIDGE = 150, 0.05, 3e-4
-#: A feature is learnt if at least so many rated documents have it.
-LEAST_DOCS = 5
-#: ... and if its share in a grade below the top is higher by so many standard errors.
-SCREEN = 4.5
+STEPS, RATE, RIDGE = 600, 0.1, 1e-4
+#: A feature is learnt if at least so many rated documents have it, and if its share in
+#: a grade differs from that in the others by so many standard errors, up or down.
+LEAST_DOCS, SCREEN = 5, 4.5
 REMEMBERED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RUNS = re.compile(r"(\W)\1{2,}")
+#: The results of :func:`rate`.
+RESULTS = ("vg_grade", "vg_tail", "vg_accept")
 
 
 def _hash(token: str) -> int:
@@ -40,8 +40,8 @@ def _hash(token: str) -> int:
 
 def _shape(word: str) -> str:
     """Letters as A or a, digits as 9, runs shortened: ``THE!!`` is ``AA!!``."""
-    out = []
-    for c in word[:24]:
+    out: list[str] = []
+    for c in word:
         kind = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if out[-2:] != [kind, kind]:
             out.append(kind)
@@ -90,35 +90,30 @@ class Model:
         return len(self.thresholds)
 
 
-def screened(index: np.ndarray, grade: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
-    """Features that mark a grade below the top; the rest only add noise to long
-    texts, which have many of them.  A text without any mark is rated by the
-    thresholds alone, so with few ratings to learn from it is not turned down."""
-    size, n = 1 << BITS, len(grades)
-    docs = np.bincount(index, minlength=size).astype(float)
-    keep = np.zeros(size, bool)
-    for k in range(top):
-        own = int((grades == k).sum())
-        if 0 < own < n:
-            here = np.bincount(index[grade == k], minlength=size)
-            # smoothed shares: a feature seen by chance in a few documents has no say
-            share = (docs + 1) / (n + 2)
-            error = np.sqrt(share * (1 - share) * (1 / own + 1 / (n - own)))
-            keep |= here / own - (docs - here) / (n - own) > SCREEN * error
-    return keep & (docs >= LEAST_DOCS)
+def screened(docs: np.ndarray, size: np.ndarray, least: int, screen: float) -> np.ndarray:
+    """Features that tell grades apart, in either direction; the rest only add noise to
+    long texts, which have many of them.  ``docs`` has a row for each grade: in how
+    many of its ``size`` documents each feature is.  A text without any learnt
+    feature is rated by the thresholds alone."""
+    every, n = docs.sum(axis=0).astype(float), int(size.sum())
+    # smoothed shares: a feature seen by chance in a few documents has no say
+    share = (every + 1) / (n + 2)
+    keep = np.zeros(len(every), bool)
+    for own, count in zip(docs, size, strict=True):
+        if 0 < count < n:
+            error = np.sqrt(share * (1 - share) * (1 / count + 1 / (n - count)))
+            keep |= np.abs(own / count - (every - own) / (n - count)) > screen * error
+    return keep & (every >= least)
 
 
 def train(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model:
-    """Full-batch Adam on the ordinal likelihood with a ridge penalty."""
-    size = 1 << BITS
-    weights = np.zeros(size, np.float32)
+    """Full-batch Adam on the ordinal likelihood with a ridge penalty; ``rows`` has the
+    features of each rated document that are to be learnt."""
+    weights = np.zeros(1 << BITS, np.float32)
     if not rows:
         return Model(weights, [-1e3 + k for k in range(top)])
-    counts = np.array([len(r) for r in rows])
-    index = np.concatenate(rows).astype(np.int64)
-    keep = screened(index, np.repeat(grades, counts), grades, top)[index]
-    owner = np.repeat(np.arange(len(rows)), counts)[keep]
-    index, compact = np.unique(index[keep], return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    index, compact = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
     n, width = len(rows), len(index)
     share = np.array([(grades <= k).mean() for k in range(top)]).clip(1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
@@ -156,12 +151,17 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample_docs: int = SAMPLE_DOCS,
+    least_docs: int = LEAST_DOCS,
+    screen: float = SCREEN,
     scratch: Scratch | None = None,
 ) -> Model:
     """Learn from about ``sample_docs`` rated documents, chosen by a hash of the id.
 
     ``grade`` is a column over ``ratings`` (0 to ``top``); rows where it is null
-    are left out.  The chosen ratings are few, so they go to the documents.
+    are left out.  The chosen ratings are few, so they go to the documents.  The
+    driver gets, for each of the 2**BITS features, in how many documents of each
+    grade it is, and then of every document those features that pass
+    :func:`screened`; never whole feature lists.
     """
     python_ready(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "quality")
@@ -180,10 +180,25 @@ def fit(
             found = [features(x.as_py(), remembered) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "found"])
 
-    table = sample.mapInArrow(run, "grade int, found array<int>").toArrow()
-    lists = table.column("found").combine_chunks() if table.num_rows else None
-    rows = [x.values.to_numpy(zero_copy_only=False) for x in lists] if lists is not None else []
-    return train(rows, table.column("grade").to_numpy().astype(int) if rows else np.zeros(0, int), top)
+    found = scratch.stage(sample.mapInArrow(run, "grade int, found array<int>"), "features")
+    sizes = {r.grade: r["count"] for r in found.groupBy("grade").count().collect()}
+    by_grade = [F.count(F.when(F.col("grade") == k, 1)).alias(f"g{k}") for k in range(top + 1)]
+    counts = found.select("grade", F.explode("found").alias("feature")).groupBy("feature").agg(*by_grade).toArrow()
+    docs_with = np.zeros((top + 1, 1 << BITS), np.int64)
+    for k in range(top + 1):
+        docs_with[k, counts["feature"].to_numpy()] = counts[f"g{k}"].to_numpy()
+    keep = np.flatnonzero(screened(docs_with, np.array([sizes.get(k, 0) for k in range(top + 1)]), least_docs, screen))
+    kept = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(1)]
+            lists = [x[np.isin(x, kept.value)] for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["grade", "found"])
+
+    table = found.mapInArrow(thin, "grade int, found array<int>").toArrow()
+    lists = table.column("found").combine_chunks() if table.num_rows else []
+    return train([x.values.to_numpy(zero_copy_only=False) for x in lists], table.column("grade").to_numpy().astype(int), top)
 
 
 def score(model: Model, text: Column, spark: SparkSession) -> Column:
@@ -221,20 +236,25 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text", accept: int = 2,
     count as empty; a text without known features gets the score 0; rows are
     neither joined nor dropped, so repeated rows, null ids and extra columns
     pass; an empty table stays empty.  A model fitted without any rating accepts
-    everything.
+    everything.  A column added here whose name the documents have already gets
+    underscores before its name.
     """
-    rated = docs.withColumn("vg_score", score(model, F.col(text_col), docs.sparkSession))
-    linear = F.col("vg_score")
-    return rated.withColumns({"vg_grade": expected(model, linear), "vg_tail": tail(model, linear, accept)}).withColumn(
-        "vg_accept", F.col("vg_tail") >= least
-    )
+    linear, grade, chance, yes = unused(docs, "vg_score", *RESULTS)
+    rated = docs.withColumn(linear, score(model, F.col(text_col), docs.sparkSession))
+    rated = rated.withColumns({grade: expected(model, F.col(linear)), chance: tail(model, F.col(linear), accept)})
+    return rated.withColumn(yes, F.col(chance) >= least).drop(linear)
+
+
+def accepted(docs: DataFrame, model: Model, **how) -> DataFrame:
+    """The documents that :func:`rate` accepts, with their own columns."""
+    yes = unused(docs, "vg_accept")[0]
+    return rate(docs, model, **how).where(F.col(yes)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def rating_grade() -> Column:
-    """Grades from the two labels: 0 poor, 1 well written but toxic, 2 good."""
-    return F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(
-        (F.col("quality") == 1) & (F.col("toxic") == 0), 2
-    )
+    """Grades from the two labels: a point for good writing, one for not being toxic.
+    So neither fault is a step on the way to the other, and both add up."""
+    return F.when(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1), F.col("quality") + 1 - F.col("toxic"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
