@@ -249,3 +249,25 @@ def test_stages(spark, sf_dir, tmp_path):
     mixed = {r.doc_id for r in spark.read.parquet(str(tmp_path / "mixing")).select("doc_id").collect()}
     assert {r.doc_id for r in docs.select("doc_id").collect()} == mixed
     assert quality.rating_grade() is not None
+
+
+def test_stages_bear_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls, empties, ties, repeated rows, columns named like the operators' own, and
+    no rows at all."""
+    own = ["vg_id", "vg_tag", "vg_sha", "vg_selected", "vg_accept", "vg_score", "key_doc_id", "gone_doc_id", "cell_p", "cid", "root", "item", "doc"]
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, ODD).withColumns({n: F.lit("mine") for n in own})
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        found.write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = kept.collect()
+        assert rows
+        if name != "packing":
+            assert kept.columns == docs.columns and all(r[n] == "mine" for r in rows for n in own)
+            docs = kept
+        if name == "exact_dedup":  # 1 and 2, and 3 and 4, have equal texts; 7 occurs twice
+            assert sorted((r.doc_id for r in rows), key=str) == sorted([1, 3, 5, 6, 7, 8, 9, 10, 11, 12, None], key=str)
+    nothing = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0

@@ -180,11 +180,12 @@ def pack(
         spark.createDataFrame(plan_best_fit(histogram, capacity), _SLOTS).coalesce(1), "slots"
     )
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(
+    base = scratch.stage(counts.select(
         F.col("task").alias("b_task"), F.col("length").alias("b_length"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
-    )
-    ranked = cut.join(base, (F.col("task") == F.col("b_task")) & (F.col("length") == F.col("b_length")))
+    ), "base")
+    # a row for each task and length: counted, and beyond the bound shuffled like any table
+    ranked = cut.join(keyed(base), (F.col("task") == F.col("b_task")) & (F.col("length") == F.col("b_length")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("nth"))
     # the slots number a few for each length: bounded by the plan, and counted
     placed = ranked.join(

@@ -232,9 +232,10 @@ def expected(model: Model, linear: Column) -> Column:
 def rate(docs: DataFrame, model: Model, text_col: str = "text", accept: int = 2, least: float = 0.5) -> DataFrame:
     """``docs`` with ``vg_grade``, ``vg_tail`` and ``vg_accept`` added.
 
-    A row is accepted if P(rating >= ``accept``) is at least ``least``.  Null texts
-    count as empty; a text without known features gets the score 0; rows are
-    neither joined nor dropped, so repeated rows, null ids and extra columns
+    A row is accepted if P(rating >= ``accept``) is at least ``least``, or if its score
+    is not below 0: where few ratings are low or few were given, the thresholds alone
+    turn nothing down without a mark against it.  Null texts count as empty; a text
+    without known features gets the score 0; rows are neither joined nor dropped, so repeated rows, null ids and extra columns
     pass; an empty table stays empty.  A model fitted without any rating accepts
     everything.  A column added here whose name the documents have already gets
     underscores before its name.
@@ -242,7 +243,7 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text", accept: int = 2,
     linear, grade, chance, yes = unused(docs, "vg_score", *RESULTS)
     rated = docs.withColumn(linear, score(model, F.col(text_col), docs.sparkSession))
     rated = rated.withColumns({grade: expected(model, F.col(linear)), chance: tail(model, F.col(linear), accept)})
-    return rated.withColumn(yes, F.col(chance) >= least).drop(linear)
+    return rated.withColumn(yes, (F.col(chance) >= least) | (F.col(linear) >= 0)).drop(linear)
 
 
 def accepted(docs: DataFrame, model: Model, **how) -> DataFrame:
