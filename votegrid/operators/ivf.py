@@ -1,24 +1,27 @@
 """Inverted-file index: construction, storage layout and search.
 
-Search is set-at-a-time.  Each branch that one query could take (expansion, box
-extension, exact fallback) becomes a subset of the queries that goes through the
-next plan; subsets are staged, so nothing is computed twice.
+Search is set-at-a-time.  Queries stream past the clusters, whose number training
+bounds, and leave a row for each cluster to visit; these rows join the members.  Each
+branch that one query could take (expansion, box extension, exact fallback) becomes a
+subset of the queries that goes through the next plan; one table is staged for each
+pass over the members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from votegrid.functions.distance import box_bound_squared, l2_squared
+from votegrid.functions.distance import l2_matrix_fast, l2_squared
 from votegrid.operators import kmeans
 from votegrid.operators.scoring import votes
-from votegrid.operators.topk import _matrix, exact_topk, flags_equal, keep_top
+from votegrid.operators.topk import MATRIX_CELLS, _matrix, exact_topk, flags_equal, keep_top
 from votegrid.plans.config import DIM, IVFTraining, SearchConfig
 from votegrid.storage import Scratch, reachable
 
@@ -47,6 +50,38 @@ class IVFIndex:
     def has_cluster_vectors(self) -> bool:
         return self.version >= 3
 
+    @cached_property
+    def layout(self) -> "Layout":
+        """The cluster table in arrays, for the driver and all tasks."""
+        table = self.clusters.orderBy("cluster_id").toArrow()
+        lanes = lambda name: _matrix(table.column(name).combine_chunks()).astype(np.int64)
+        return Layout(lanes("centroid"), lanes("box_low"), lanes("box_high"), table.column("size").to_numpy())
+
+
+@dataclass
+class Layout:
+    """A row per cluster, in the order of their numbers."""
+
+    centroids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
+
+    def nearest(self, points: np.ndarray, nprobe: int) -> np.ndarray:
+        """Numbers of each point's nearest clusters, ties by number: a row per point."""
+        distance = l2_matrix_fast(points, self.centroids)
+        key = distance * len(self.size) + np.arange(len(self.size))
+        few = np.argpartition(key, nprobe - 1, axis=1)[:, :nprobe] if nprobe < key.shape[1] else np.broadcast_to(np.arange(key.shape[1]), key.shape)
+        return np.take_along_axis(few, np.take_along_axis(key, few, axis=1).argsort(axis=1), axis=1)
+
+    def bounds(self, points: np.ndarray) -> np.ndarray:
+        """Least squared distance from each point to anything in each box."""
+        total = np.zeros((len(points), len(self.size)), np.int64)
+        for k in range(points.shape[1]):
+            q = points[:, k, None].astype(np.int64)
+            total += np.maximum(np.maximum(self.low[:, k] - q, q - self.high[:, k]), 0) ** 2
+        return total
+
 
 def assign(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Adds ``cluster_id`` and ``centroid_distance``; ties go to the lowest cluster."""
@@ -112,31 +147,71 @@ def build_ivf(refs: DataFrame, training: IVFTraining = IVFTraining(), version: i
 
 
 def save_ivf(index: IVFIndex, path: str) -> None:
-    """``clusters`` and ``members`` below ``path``; members are partitioned by cluster,
-    so probing prunes files at run time."""
+    """``clusters``, ``members`` and ``about`` (version, count) below ``path``; members
+    are partitioned by cluster, so probing prunes files at run time."""
     index.clusters.write.mode("overwrite").parquet(f"{path}/clusters")
     (
         index.members.repartition("cluster_id").sortWithinPartitions("cluster_id", "ordered_pos")
         .write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/members")
     )
+    about = index.clusters.sparkSession.createDataFrame([(index.version, index.count)], "version int, count bigint")
+    about.write.mode("overwrite").parquet(f"{path}/about")
 
 
-def load_ivf(spark: SparkSession, path: str, count: int | None = None, version: int = 3) -> IVFIndex:
+def load_ivf(spark: SparkSession, path: str, count: int | None = None) -> IVFIndex:
     """``count`` is the number of references; an index over another number is refused."""
     clusters, members = spark.read.parquet(f"{path}/clusters"), spark.read.parquet(f"{path}/members")
-    total = clusters.agg(F.sum("size"), F.count(F.lit(1))).first()
-    if count is not None and total[0] != count:
-        raise ValueError(f"the index covers {total[0]} records, the references number {count}")
-    return IVFIndex(clusters, members, total[0], total[1], version)
+    about, number = spark.read.parquet(f"{path}/about").first(), clusters.count()
+    if count is not None and about["count"] != count:
+        raise ValueError(f"the index covers {about['count']} records, the references number {count}")
+    return IVFIndex(clusters, members, about["count"], number, about.version)
+
+
+def _visits(ids: np.ndarray, points: np.ndarray, rows: np.ndarray, cluster: np.ndarray, rank: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """A row for each visit: point number, cluster, its rank and a figure of the point."""
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(points[rows].astype(np.int16).ravel()), DIM).cast(pa.list_(pa.int16()))
+    columns = [pa.array(ids[rows], pa.int64()), lists, pa.array(cluster, pa.int32()), pa.array(rank, pa.int32()), pa.array(more, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", "q_vec", "cluster_id", "probe_rank", "reach"])
+
+
+_VISIT = f"query_id bigint, q_vec {VEC}, cluster_id int, probe_rank int, reach bigint"
+
+
+def _asked(queries: DataFrame, *more: str) -> DataFrame:
+    return queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast(VEC).alias("vec"), *more)
 
 
 def probe(queries: DataFrame, index: IVFIndex, nprobe: int) -> DataFrame:
-    """``query_id, q_vec, cluster_id, probe_rank`` of each query's nearest clusters."""
-    near = queries.select("query_id", F.col("vec").alias("q_vec")).join(
-        index.clusters.select("cluster_id", "centroid"), F.lit(True)
-    ).select("query_id", "q_vec", "cluster_id", l2_squared(F.col("q_vec"), F.col("centroid")).alias("distance"))
-    ranked = keep_top(near, min(max(1, nprobe), index.cluster_count), "cluster_id")
-    return ranked.select("query_id", "q_vec", "cluster_id", F.col("rank").alias("probe_rank"))
+    """``query_id, q_vec, cluster_id, probe_rank`` of each query's nearest clusters, and
+    in ``reach`` how many records lie in them all."""
+    reachable(queries.sparkSession)
+    layout, nprobe = index.layout, min(max(1, nprobe), index.cluster_count)
+    step = max(1, MATRIX_CELLS // index.cluster_count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, points = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for a in range(0, len(ids), step):
+                near = layout.nearest(points[a : a + step], nprobe)
+                rows = np.repeat(np.arange(len(near)), nprobe)
+                yield _visits(ids[a : a + step], points[a : a + step], rows, near.ravel(), np.tile(np.arange(1, nprobe + 1), len(near)), layout.size[near].sum(axis=1)[rows])
+
+    return _asked(queries).mapInArrow(run, _VISIT)
+
+
+def within_reach(queries: DataFrame, index: IVFIndex, nprobe: int, k: int, enough: bool) -> DataFrame:
+    """The queries whose nearest clusters hold at least ``k`` records, or the others."""
+    reachable(queries.sparkSession)
+    layout, nprobe = index.layout, min(max(1, nprobe), index.cluster_count)
+    step = max(1, MATRIX_CELLS // index.cluster_count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _matrix(batch.column(1))
+            held = [layout.size[layout.nearest(points[a : a + step], nprobe)].sum(axis=1) for a in range(0, len(points), step)]
+            yield batch.filter(pa.array((np.concatenate(held) >= k) == enough)) if held else batch
+
+    return _asked(queries).mapInArrow(run, f"query_id bigint, vec {VEC}")
 
 
 def scan(probes: DataFrame, index: IVFIndex, k: int) -> DataFrame:
@@ -148,31 +223,54 @@ def scan(probes: DataFrame, index: IVFIndex, k: int) -> DataFrame:
     return keep_top(found, k, "probe_rank", "ordered_pos")
 
 
-def boxes_within(queries: DataFrame, probes: DataFrame, worst: DataFrame, index: IVFIndex) -> DataFrame:
-    """Unvisited clusters whose box comes closer than the worst distance so far,
-    numbered after the probes by (bound, cluster)."""
-    bound = box_bound_squared(F.col("q_vec"), F.col("box_low"), F.col("box_high"))
-    near = (
-        queries.select("query_id", F.col("vec").alias("q_vec")).join(worst, "query_id")
-        .join(index.clusters.select("cluster_id", "box_low", "box_high"), F.lit(True))
-        .select("query_id", "q_vec", "cluster_id", bound.alias("bound"), "worst").where("bound < worst")
-        .join(probes.select("query_id", "cluster_id"), ["query_id", "cluster_id"], "left_anti")
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("bound", "cluster_id"))
-    return near.select("query_id", "q_vec", "cluster_id", (rank + index.cluster_count).alias("probe_rank"))
-
+def boxes_within(queries: DataFrame, worst: DataFrame, index: IVFIndex, nprobe: int) -> DataFrame:
+    """Clusters beyond the ``nprobe`` nearest whose box comes closer than the worst
+    distance so far, numbered after the probes by (bound, cluster)."""
+    reachable(queries.sparkSession)
+    layout, nprobe = index.layout, min(max(1, nprobe), index.cluster_count)
+    step = max(1, MATRIX_CELLS // index.cluster_count)
 
-def extended(queries: DataFrame, probes: DataFrame, first: DataFrame, index: IVFIndex, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, points, limits = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+            for a in range(0, len(ids), step):
+                part, limit = points[a : a + step], limits[a : a + step]
+                bound = layout.bounds(part)
+                np.put_along_axis(bound, layout.nearest(part, nprobe), np.iinfo(np.int64).max, axis=1)
+                rows, cluster = np.nonzero(bound < limit[:, None])
+                order = np.lexsort((cluster, bound[rows, cluster], rows))
+                rows, cluster = rows[order], cluster[order]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1 + len(layout.size)
+                yield _visits(ids[a : a + step], part, rows, cluster, rank, limit[rows])
+
+    limited = queries.join(worst.withColumnRenamed("query_id", "w_id"), F.col("query_id") == F.col("w_id"))
+    return _asked(limited, "worst").mapInArrow(run, _VISIT)
+
+
+def extended(queries: DataFrame, first: DataFrame, index: IVFIndex, nprobe: int, k: int) -> DataFrame:
     """``first`` (top k of the probes) improved by clusters that boxes let through.
 
     A record beyond the k-th distance of ``first`` cannot enter, so one pass over
     those clusters gives what scanning them one after the other would."""
     worst = first.where(F.col("rank") == k).select("query_id", F.col("distance").alias("worst"))
-    more = scan(boxes_within(queries, probes, worst, index), index, k)
-    both = first.drop("rank").unionByName(more.drop("rank"))
+    more = scan(boxes_within(queries, worst, index, nprobe), index, k)
+    both = first.select(*[c for c in more.columns if c != "rank"]).unionByName(more.drop("rank"))
     return keep_top(both, k, "probe_rank", "ordered_pos")
 
 
+ANSWER = ["query_id", "record_index", "label", "distance", "rank"]
+
+
+def with_fallback(queries: DataFrame, refs: DataFrame, top: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``top`` where it has k rows for a query, and exact search for the other queries.
+    The count is a window over what the top k left, so only ``top`` is staged."""
+    counted = top.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    top = scratch.stage(counted.where(F.col("found") >= k).select(*ANSWER), "top")
+    short = queries.join(top.where("rank = 1").select(F.col("query_id").alias("done")), F.col("query_id") == F.col("done"), "left_anti")
+    exact = exact_topk(short, refs, k).select(*ANSWER, F.lit(True).alias("used_fallback"))
+    return top.withColumn("used_fallback", F.lit(False)).unionByName(exact)
+
+
 def ivf_topk(
     queries: DataFrame, refs: DataFrame, index: IVFIndex, nprobe: int, k: int, boxes: bool = False, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -183,22 +281,14 @@ def ivf_topk(
     postings where fewer than k records lie in the probed clusters, matching or not.
     """
     scratch = scratch or Scratch(queries.sparkSession, "ivf-search")
-    probes = scratch.stage(probe(queries, index, nprobe), "probes")
-    top = scratch.stage(scan(probes, index, k), "top")
-    use_boxes = boxes and index.has_boxes
-    if use_boxes:
-        top = scratch.stage(extended(queries, probes, top, index, k), "extended")
-    if not index.has_cluster_vectors and not use_boxes:
-        size = index.clusters.select("cluster_id", "size")
-        enough = probes.join(size, "cluster_id").groupBy("query_id").agg(F.sum("size").alias("n")).where(F.col("n") >= k)
-    else:
-        enough = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    enough = scratch.stage(enough.select("query_id"), "enough")
-    columns = ["query_id", "record_index", "label", "distance", "rank"]
-    kept = top.join(enough, "query_id", "left_semi").select(*columns, F.lit(False).alias("used_fallback"))
-    short = queries.join(enough, "query_id", "left_anti")
-    exact = exact_topk(short, refs, k).select(*columns, F.lit(True).alias("used_fallback"))
-    return kept.unionByName(exact)
+    top = scan(probe(queries, index, nprobe), index, k)
+    if boxes and index.has_boxes:
+        top = extended(queries, scratch.stage(top, "probed"), index, nprobe, k)
+    elif not index.has_cluster_vectors:
+        kept = scan(probe(within_reach(queries, index, nprobe, k, True), index, nprobe), index, k)
+        exact = exact_topk(within_reach(queries, index, nprobe, k, False), refs, k)
+        return kept.select(*ANSWER, F.lit(False).alias("used_fallback")).unionByName(exact.select(*ANSWER, F.lit(True).alias("used_fallback")))
+    return with_fallback(queries, refs, top, k, scratch)
 
 
 def vote_table(queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -222,7 +312,7 @@ def adaptive(queries: DataFrame, config: SearchConfig, stage, scratch: Scratch)
     first = scratch.stage(stage(queries, config.initial_nprobe, config.use_boxes), "stage1").withColumn("expanded", F.lit(False))
     if not config.adaptive:
         return first
-    undecided = scratch.stage(first.where(expands(config)), "undecided").select("query_id")
+    undecided = first.where(expands(config)).select("query_id")
     second = stage(queries.join(undecided, "query_id", "left_semi"), config.nprobe, config.boxes_when_expanded)
     return first.where(~expands(config)).unionByName(second.withColumn("expanded", F.lit(True)))
 
@@ -238,5 +328,5 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 __all__ = [
     "IVFIndex", "adaptive", "assign", "boxes_within", "build_ivf", "cluster_table", "extended", "index_from_centroids", "ivf_topk",
-    "load_ivf", "place", "probe", "recall", "save_ivf", "scan", "vote_table", "votes",
+    "load_ivf", "place", "probe", "recall", "save_ivf", "scan", "vote_table", "votes", "with_fallback", "within_reach",
 ]

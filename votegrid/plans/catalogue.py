@@ -206,14 +206,14 @@ def pq_encode(spark, d):
 def adc_shortlist(spark, d):
     index, books = _coded(spark, d)
     q = fx.query_vectors(spark, d)
-    found = pq.shortlist(q, ivf.probe(q, index, NPROBE), index, books, 4, SHORTLIST)
+    found = pq.shortlist(ivf.probe(q, index, NPROBE), index, books, SHORTLIST)
     return found.select("query_id", F.col("adc_rank").cast("bigint").alias("adc_rank"), "record_index", "adc")
 
 
 def ivfpq_votes(spark, d, boxes=False):
     index, books = _coded(spark, d)
     q = fx.query_vectors(spark, d)
-    return ivf.vote_table(q, pq.pq_topk(q, fx.references(spark, d), index, books, 4, NPROBE, SHORTLIST, K, boxes))
+    return ivf.vote_table(q, pq.pq_topk(q, fx.references(spark, d), index, books, NPROBE, SHORTLIST, K, boxes))
 
 
 def recall_at_5(spark, d):
