@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -170,6 +171,19 @@ def families(count, size, shared, own, seed=3):
     return rows
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(70, 3000), st.integers(0, 900), st.integers(0, 900), st.integers(0, 99))
+def test_wide_bitmaps_differ_in_no_more_than_the_sets(shared, one, two, seed):
+    draw = np.random.default_rng(seed)
+    pool = np.unique(draw.integers(0, 1 << 63, shared + one + two, dtype=np.uint64))
+    a, b = pool[: shared + one], np.concatenate([pool[:shared], pool[shared + one :]])
+    differ = len(np.setxor1d(a, b))
+    found = simhash.apart(simhash.wide_parity(a), simhash.wide_parity(b))
+    assert found <= differ and (differ - found) % 2 == 0
+    assert found > 0.6 * differ - 3  # and sharp
+    assert simhash.wide_parity(a[:64]) is None
+
+
 def test_texts_below_the_similarity_stay_apart(spark):
     """Texts that share a long passage (0.67 to each other) are not near copies."""
     rows = families(count=2, size=40, shared=160, own=40)

@@ -13,7 +13,7 @@ from votegrid.storage import reachable, within
 BROADCAST_ROWS = 500_000
 #: Bytes of text in one Arrow batch handed to Python: bounds a worker's memory
 #: whatever the length of the texts.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def python_ready(spark: SparkSession) -> None:

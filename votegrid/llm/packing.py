@@ -28,7 +28,7 @@ from votegrid.storage import Scratch
 
 CAPACITY = 2048
 #: Words whose ids one worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: A space that begins a word: the tokenizer's pre-tokenisation always cuts there.
 _CUT = re.compile(r" (?=\S)")
 

@@ -28,7 +28,7 @@ STEPS, RATE, RIDGE = 600, 0.1, 1e-4
 #: A feature is learnt if at least so many rated documents have it, and if its share in
 #: a grade differs from that in the others by so many standard errors, up or down.
 LEAST_DOCS, SCREEN = 5, 4.5
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: The results of :func:`rate`.
 RESULTS = ("vg_grade", "vg_tail", "vg_accept")

@@ -193,6 +193,25 @@ def parity(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_parity(hashes: np.ndarray) -> bytes | None:
+    """The same over at least four residues for each member, as many as a power of two;
+    null for small sets, which :func:`parity` serves as well."""
+    if 16 * len(hashes) <= 64 * PARITY:
+        return None
+    residues = 1 << (4 * len(hashes) - 1).bit_length()
+    odd = np.bincount((hashes & np.uint64(residues - 1)).astype(np.int64), minlength=residues) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """In how many bits two wide bitmaps differ, the wider one folded to the other's
+    size: sets differ in at least as many members."""
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (one, two)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefix(hashes: np.ndarray, similarity: float, items: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The leading shingles, rare ones first, of which similar sets share one."""
     if not len(hashes):
@@ -219,11 +238,37 @@ def _twice(frame: DataFrame) -> list[DataFrame]:
     return [frame.select(*[F.col(c).alias(f"{c}{k}") for c in frame.columns]) for k in (1, 2)]
 
 
-def verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, similarity: float, seed: int, scratch: Scratch, name: str) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+
+
+def roomy(pairs: DataFrame, rows: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the staged ``pairs(a, b)`` of set names whose wide bitmaps leave room for
+    the similarity: a sharp test for sets of any size, at a thirtieth of their bytes."""
+    maps = rows.where("wide is not null").join(_ends(pairs), F.col("cid") == F.col("end"), "left_semi").select("cid", "size", "wide")
+    one, two = _twice(scratch.stage(maps.dropDuplicates(["cid"]), f"{name}_maps"))
+    both = pairs.join(one, F.col("a") == F.col("cid1"), "left").join(two, F.col("b") == F.col("cid2"), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two, m, n in zip(*(batch.column(k) for k in (2, 3, 4, 5)), strict=True):
+                known = one.is_valid and two.is_valid
+                total = m.as_py() + n.as_py() if known else 0
+                enough = total * (similarity / (1 + similarity)) - 1e-6
+                keep.append(not known or total - apart(one.as_py(), two.as_py()) >= 2 * enough)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "wide1", "wide2", "size1", "size2").mapInArrow(run, "a long, b long")
+
+
+def verified(
+    pairs: DataFrame, source: DataFrame, rows: DataFrame, classes: DataFrame, words: int, similarity: float, seed: int, scratch: Scratch, name: str
+) -> DataFrame:
     """Those of the staged ``pairs(a, b)`` of set names whose sets have the Jaccard
     similarity; the sets are made again from one text of each class concerned."""
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    tags = classes.join(ends, F.col("cid") == F.col("end"), "left_semi").select("least_tag").distinct()
+    pairs = scratch.stage(roomy(pairs, rows, similarity, scratch, name), f"{name}_roomy")
+    tags = classes.join(_ends(pairs), F.col("cid") == F.col("end"), "left_semi").select("least_tag").distinct()
     tags = keyed(scratch.stage(tags, f"{name}_tags"))
     texts = source.join(tags, F.col("tag") == F.col("least_tag"), "left_semi").select("text")
 
@@ -244,7 +289,7 @@ def verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int
 
 def set_rows(source: DataFrame, words: int, similarity: float, seed: int, bits: list[str]) -> DataFrame:
     """``doc_id, tag, cid, size``, and for the first row of a set in its task the
-    prefix ``heads`` and the bitmap, else null."""
+    prefix ``heads`` and the bitmaps, else null."""
     order = source.sparkSession.sparkContext.broadcast(frequent(source, words, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,18 +297,19 @@ def set_rows(source: DataFrame, words: int, similarity: float, seed: int, bits:
         for batch in batches:
             found = [shingle_set(x.as_py(), words, seed) for x in batch.column(2)]
             names = [set_name(x) for x in found]
-            heads, odd = [], []
+            heads, odd, wide = [], [], []
             for x, cid in zip(found, names, strict=True):
                 first = cid not in seen
                 seen.add(cid)
                 heads.append(prefix(x, similarity, *order.value).view(np.int64) if first else None)
                 odd.append(parity(x) if first else [None] * PARITY)
-            columns = [pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                wide.append(wide_parity(x) if first else None)
+            columns = [pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
             columns += [pa.array(x, pa.int64()) for x in (zip(*odd, strict=True) if odd else [()] * PARITY)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "tag", "cid", "size", "heads", *bits])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "tag", "cid", "size", "heads", "wide", *bits])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, size long, heads array<long>, " + ", ".join(f"{b} long" for b in bits))
+    return source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, size long, heads array<long>, wide binary, " + ", ".join(f"{b} long" for b in bits))
 
 
 def similar_groups(
@@ -300,12 +346,12 @@ def similar_groups(
         rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in bits]), "classes"
     )
     # the rows of shared prefix shingles; most shingles are of one text and end here
-    met = rows.where("heads is not null").select("cid", "size", F.posexplode("heads").alias("pos", "item"))
+    met = rows.where("heads is not null").select("cid", F.posexplode("heads").alias("pos", "item"))
     shared = met.groupBy(F.col("item").alias("shared")).agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("company")).where("low < high")
     crowd = scratch.stage(
-        met.join(shared.drop("high"), F.col("item") == F.col("shared")).select("item", "cid", "size", "pos", "low", "company").distinct(), "crowd"
+        met.join(shared.drop("high"), F.col("item") == F.col("shared")).select("item", "cid", "pos", "low", "company").distinct(), "crowd"
     )
-    central = crowd.groupBy(F.col("cid").alias("c")).agg((F.sum("company") / F.max("size")).alias("central"))
+    central = crowd.groupBy(F.col("cid").alias("c")).agg((F.sum("company") / (F.max("pos") + 1)).alias("central"))
     hubs = crowd.join(central, F.col("cid") == F.col("c")).groupBy(F.col("item").alias("at")).agg(F.max_by("cid", "central").alias("hub"))
     stars = (
         crowd.join(hubs, F.col("item") == F.col("at")).select("cid", "hub")
@@ -314,15 +360,15 @@ def similar_groups(
     )
     one, two = _twice(classes.select("cid", "size", *bits))
     stars = stars.join(one, F.col("a") == F.col("cid1")).join(two, F.col("b") == F.col("cid2")).where(room(similarity, bits)).select("a", "b")
-    starred = scratch.stage(verified(scratch.stage(stars, "stars_pairs"), source, classes, words, similarity, seed, scratch, "stars"), "starred")
+    starred = scratch.stage(verified(scratch.stage(stars, "stars_pairs"), source, rows, classes, words, similarity, seed, scratch, "stars"), "starred")
     part = scratch.stage(connected_components(starred, Scratch(spark, "stars")), "part")
 
     placed = scratch.stage(
-        crowd.join(part, F.col("cid") == F.col("node"), "left").select("item", "cid", "size", "pos", F.coalesce("root", "cid").alias("root")),
+        crowd.join(part, F.col("cid") == F.col("node"), "left").select("item", "cid", "pos", F.coalesce("root", "cid").alias("root")),
         "placed",
     )
     mixed = placed.groupBy(F.col("item").alias("mixed")).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
-    odd = classes.select(F.col("cid").alias("odd_cid"), *bits)
+    odd = classes.select(F.col("cid").alias("odd_cid"), "size", *bits)
     before = Window.partitionBy("cid").orderBy("pos").rowsBetween(-EARLIER, -1)
     left = scratch.stage(
         placed.join(mixed, F.col("item") == F.col("mixed")).withColumn("prior", F.collect_list("item").over(before))
@@ -337,7 +383,7 @@ def similar_groups(
         (F.col("item1") == F.col("item2")) & (F.col("cid1") < F.col("cid2")) & (F.col("root1") != F.col("root2"))
         & (reached >= enough) & room(similarity, bits) & ~F.arrays_overlap("prior1", "prior2"),
     ).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
-    crossed = verified(scratch.stage(across, "across_pairs"), source, classes, words, similarity, seed, scratch, "across")
+    crossed = verified(scratch.stage(across, "across_pairs"), source, rows, classes, words, similarity, seed, scratch, "across")
     reach = scratch.stage(connected_components(starred.union(crossed), scratch), "reach")
     joined = scratch.stage(
         classes.join(reach, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root")), "joined"
