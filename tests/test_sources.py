@@ -131,6 +131,64 @@ def test_index_files():
     assert (b == books).all() and (c == codes).all()
 
 
+@pytest.mark.parametrize("version", [1, 2, 3])
+def test_index_files_become_tables(spark, tmp_path, version):
+    import struct
+
+    from votegrid.operators import ivf, pq
+
+    refs = spark.createDataFrame([(i, int(i % 2), [int(10 * i + k) for k in range(DIM)]) for i in range(6)], "record_index long, label byte, vec array<smallint>")
+    index = ivf.index_from_centroids(refs, np.array([[0] * DIM, [40] * DIM], np.int16), version)
+    path = f"{tmp_path}/index.ivf"
+    if version == 3:
+        binary.export_ivf(index, f"file://{path}")
+    else:  # files of the older versions end after their postings
+        x = index.layout
+        order = [r.record_index for r in index.members.orderBy("ordered_pos").collect()]
+        head = binary.IVF_MAGIC + struct.pack("<IQIIq", version, 6, 2, binary.STRIDE, 0)
+        boxes = [binary._wide(x.low), binary._wide(x.high)] if version == 2 else []
+        offsets = np.array([0, x.size[0], 6], "<u4").tobytes()
+        with open(path, "wb") as out:
+            out.write(binary._layout(head, binary.IVF_HEADER, binary._wide(x.centroids), *boxes, offsets, np.array(order, "<u4").tobytes()))
+    back = binary.import_ivf(spark, path, refs)
+    assert (back.version, back.count, back.cluster_count) == (version, 6, 2)
+    rows = lambda i: sorted(tuple(r) for r in i.members.select("record_index", "label", "vec", "cluster_id", "ordered_pos").collect())
+    assert rows(back) == rows(index)
+    assert (back.layout.low == (index.layout.low if version > 1 else index.layout.centroids)).all() and (back.layout.size == index.layout.size).all()
+    with pytest.raises(binary.FormatError):
+        binary.import_ivf(spark, path, refs.where("record_index < 5"))
+    books = np.arange(1024 * 4, dtype=np.int16).reshape(4, 256, 4)
+    codes = np.arange(24).reshape(6, 4)
+    with open(f"{tmp_path}/codes.pq", "wb") as out:
+        out.write(binary.encode_pq(books, codes))
+    coded, table = binary.import_pq(spark, f"{tmp_path}/codes.pq", back)
+    assert [r.codes for r in coded.members.orderBy("ordered_pos").collect()] == codes.tolist()
+    assert (pq.codebook_array(table) == books).all()
+    pq.save_pq(coded, table, f"{tmp_path}/saved")
+    again, table = pq.load_pq(spark, f"{tmp_path}/saved", 6)
+    assert again.version == version and (pq.codebook_array(table) == books).all()
+    with pytest.raises(ValueError):
+        pq.codebook_array(table.where("subvector < 3"))
+
+
+def test_reset_and_metrics(spark):
+    from votegrid.operators import stats
+
+    events = spark.createDataFrame([(1, "a"), (5, "b"), (9, "c")], "at long, what string")
+    none = spark.createDataFrame([], "at long")
+    assert stats.since_reset(events, none).count() == 3
+    assert [r.what for r in stats.since_reset(events, spark.createDataFrame([(2,), (5,)], "at long")).collect()] == ["c"]
+    answers = spark.createDataFrame([(1, 3, True, False), (2, 0, False, True)], "query_id long, votes long, used_fallback boolean, expanded boolean")
+    assert tuple(stats.search_metrics(answers).first()) == (2, 1, 1, 3)
+
+
+def test_vectors_in_one_call(spark):
+    from votegrid.sources import requests
+
+    rows = requests.quantised_vectors(spark.createDataFrame([(1, "{}"), (2, None), (3, "no json")], "request_id long, body string")).collect()
+    assert [(r.request_id, r.valid, r.vec) for r in rows] == [(k, False, None) for k in (1, 2, 3)]
+
+
 def test_stats(spark):
     frame = spark.createDataFrame([("parse", 3), ("parse", 4), ("search", None)], "phase string, ns long")
     got = {r.phase: (r["count"], r.total_ns, r.max_ns, r.avg_ns) for r in stats.phase_stats(frame).collect()}

@@ -27,6 +27,22 @@ def request_counters(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def since_reset(events: DataFrame, resets: DataFrame, at: str = "at") -> DataFrame:
+    """The rows of ``events`` later than the last of ``resets`` (one column ``at``, a
+    reset each): what a snapshot counts.  Without a reset, all rows."""
+    last = resets.agg(F.max(at)).first()[0]
+    return events if last is None else events.where(F.col(at) > F.lit(last))
+
+
+def search_metrics(answers: DataFrame) -> DataFrame:
+    """One row from ``query_id, votes, used_fallback, expanded``: searches, how many of
+    them ended in exact fallback or were expanded, and the votes given."""
+    return answers.agg(
+        F.count(F.lit(1)).alias("searches"), F.count_if("used_fallback").alias("exact_fallbacks"), F.count_if("expanded").alias("expansions"),
+        F.coalesce(F.sum("votes"), F.lit(0)).cast("bigint").alias("votes"),
+    )
+
+
 def snapshot_json(stats: DataFrame) -> DataFrame:
     """Each row as a JSON text."""
     return stats.select(F.to_json(F.struct(*stats.columns)).alias("stats"))

@@ -7,7 +7,7 @@ extension is a filter over all unprobed clusters.
 from __future__ import annotations
 
 from votegrid.plans import fixtures as fx
-from votegrid.plans.config import CATEGORY_RISK, DIM
+from votegrid.plans.config import CATEGORY_RISK, DIM, FLAG_LANES
 
 _V = ", ".join(f"v[{k + 1}] AS v{k}" for k in range(DIM))
 _L2 = fx.l2_sql
@@ -180,6 +180,7 @@ ADC AS (SELECT P.query_id, M.record_index, M.label, P.probe_rank, M.ordered_pos,
   GROUP BY P.query_id, M.record_index, M.label, P.probe_rank, M.ordered_pos),
 SL AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adc, probe_rank, ordered_pos) AS adc_rank FROM ADC) WHERE adc_rank <= 20)"""
 _WITH_PQ = f"{_with_index()}, {_BOOKS}, {_CODES}, {_probes(2)}, {_QP}"
+LOOKUP = f"{_WITH_PQ} SELECT query_id, CAST(subvector AS BIGINT) AS subvector, CAST(code AS BIGINT) AS code, CAST(d AS BIGINT) AS distance FROM LUT"
 ADC_SHORTLIST = f"{_WITH_PQ} SELECT query_id, CAST(adc_rank AS BIGINT) AS adc_rank, record_index, CAST(adc AS BIGINT) AS adc FROM SL"
 _RERANKED = f"""SELECT SL.query_id, SL.record_index, SL.label, adc_rank - 20 AS probe_rank, ordered_pos, {_L2('Q.v', 'R.v')} AS distance
 FROM SL JOIN Q ON Q.query_id = SL.query_id JOIN R ON R.record_index = SL.record_index"""
@@ -203,3 +204,31 @@ MALFORMED = f"""WITH {fx.VECTORS_SQL}, {fx.REQUESTS_SQL}, G AS (SELECT request_i
 S AS (SELECT query_id, CAST(sum(label) AS DOUBLE) / count(*) AS s FROM ({_ranked(f"SELECT query_id, record_index, label, {_L2('G.v', 'R.v')} AS distance FROM G, R", 'distance, record_index')}) GROUP BY query_id)
 SELECT request_id, CASE WHEN s IS NULL THEN false ELSE s < 0.5 END AS approved, coalesce(s, 1.0) AS fraud_score, s IS NULL AS failed
 FROM T LEFT JOIN S ON query_id = request_id"""
+
+# kinds 0 and 4 of the bodies are whole; the others have no vector
+REQUEST_VECTORS = f"""WITH {fx.REQUESTS_SQL}, X AS (SELECT request_id, request_id % 5 IN (0, 4) AS valid, [{fx.REQUEST_VECTORS_SQL}] AS v FROM T)
+SELECT request_id, valid, {', '.join(f'CASE WHEN valid THEN v[{k + 1}] END AS v{k}' for k in range(DIM))} FROM X"""
+INGESTED = f"""WITH X AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS record_index, CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS BIGINT) AS label,
+  [{', '.join(f"{'trunc' if k in FLAG_LANES else 'round'}(CAST(embedding[{k + 1}] AS DOUBLE) * 10000)" for k in range(DIM))}] AS v FROM embeddings)
+SELECT record_index, label, {', '.join(f'CAST(v[{k + 1}] AS BIGINT) AS v{k}' for k in range(DIM))} FROM X"""
+
+
+def _mixed(state: str) -> str:
+    """The generator's output function, in 128-bit arithmetic cut to 64 bits."""
+    cut = lambda x: f"CAST(({x}) % 18446744073709551616 AS UBIGINT)"
+    one = cut(f"CAST(xor({state}, {state} >> 30) AS UHUGEINT) * 13787848793156543929")
+    two = cut("CAST(xor(z1, z1 >> 27) AS UHUGEINT) * 10723151780598845931")
+    return f"SELECT n, xor(z2, z2 >> 31) AS z FROM (SELECT n, {two} AS z2 FROM (SELECT n, {one} AS z1 FROM S))"
+
+
+# the n-th state of the generator is its seed and n + 1 steps, so draws need no recursion
+WARM_UP = f"""WITH {fx.VECTORS_SQL}, {_trained(8)},
+S AS (SELECT n, CAST((14627333968688430831 + CAST(n + 1 AS UHUGEINT) * 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS s FROM (SELECT unnest(range(0, 500)) AS n)),
+D AS ({_mixed('s')})
+SELECT n AS query_id, {', '.join(f"(C.v[{k + 1}] + {({0: 17, 7: 23}).get(k, 0)} + 32768) % 65536 - 32768 AS v{k}" for k in range(DIM))}
+FROM D JOIN C ON C.cluster_id = CAST(z % 8 AS BIGINT)"""
+# sound training whatever the random draws were
+TRAINED_INDEX = f"""WITH {fx.VECTORS_SQL} SELECT count(*) AS records, CAST(8 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced,
+CAST(0 AS BIGINT) AS outside, count(*) AS positions FROM R"""
+TRAINED_CODES = f"""WITH {fx.VECTORS_SQL} SELECT count(*) AS members, CAST(4 AS BIGINT) AS subvectors, CAST(0 AS BIGINT) AS not_nearest,
+CAST(0 AS BIGINT) AS out_of_range FROM R"""

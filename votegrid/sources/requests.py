@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from votegrid.functions.lanes import feature_lanes, quantize
 from votegrid.functions.moments import parse_instant
+from votegrid.plans.config import Normalization
 
 #: Numbers are read as doubles and checked for being integral afterwards: an
 #: integer column would turn 2.0 into null.
@@ -64,6 +66,13 @@ def _any_null(f) -> Column:
     return missing
 
 
+def quantised_vectors(frame: DataFrame, n: Normalization = Normalization(), body: str = "body", key: str = "request_id") -> DataFrame:
+    """From JSON texts to ``request_id, valid, vec`` in one call: the quantised lanes of
+    a valid request, null for any other."""
+    parsed = parse_requests(frame, body, key)
+    return parsed.select("request_id", "valid", F.when(F.col("valid"), quantize(feature_lanes(n), n.scale)).alias("vec"))
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """One JSON request per line; ids are the requests' own."""
     return parse_requests(spark.read.text(path).select(F.monotonically_increasing_id().alias("request_id"), F.col("value").alias("body")))
