@@ -131,6 +131,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("kept").cast("int")).alias("stays")),
         "per_key",
     )
+    scratch.keep("per_key")
     named = {"doc_id": F.col(id_col), "text_sha256": F.sha2(ascii_lower(F.col(text_col)), 256)}
     out = without_rows(docs, named, per_key.where("stays = 0 or rows > 1").select(*keys))
     again = per_key.where("stays = 1 and rows > 1").select(*keys)

@@ -198,6 +198,7 @@ def fit(
             words.withColumn("marked", marked).where(F.length("marked") >= n).select(F.lit(k).alias("level"), "lang", F.explode(spots).alias("key"), "n")
         )
     found = counted.groupBy("level", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    scratch.keep()
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float) / sum(sizes.values()))
     return Model(languages, prior, _tables(found, languages, 1 + len(GRAMS)))
 

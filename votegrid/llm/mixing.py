@@ -243,6 +243,7 @@ def mix(
         table = _as_tables(cells, targets or {}, temper, draw, scratch)
     keys = unused(named, *[f"cell_{a}" for a in (*AXES, "weight", "p")])
     table = scratch.stage(table.toDF(*keys), "table")
+    scratch.keep("table")
     at = reduce(lambda x, y: x & y, [F.col(names[f"vg_{a}"]) == F.col(k) for a, k in zip(AXES, keys, strict=False)])
     spot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10)
     out = named.join(keyed(table), at, "left").withColumns({

@@ -185,6 +185,7 @@ def pack(
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
     ), "base")
     # a row for each task and length: counted, and beyond the bound shuffled like any table
+    scratch.keep("pieces", "slots", "base")
     ranked = cut.join(keyed(base), (F.col("task") == F.col("b_task")) & (F.col("length") == F.col("b_length")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("nth"))
     # the slots number a few for each length: bounded by the plan, and counted

@@ -197,6 +197,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["grade", "found"])
 
     table = found.mapInArrow(thin, "grade int, found array<int>").toArrow()
+    scratch.keep()
     lists = table.column("found").combine_chunks() if table.num_rows else []
     return train([x.values.to_numpy(zero_copy_only=False) for x in lists], table.column("grade").to_numpy().astype(int), top)
 

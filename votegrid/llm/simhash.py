@@ -138,6 +138,7 @@ def near_duplicates(
         .select(F.col("fp").alias("cfp"), "component_id"),
         "named",
     )
+    scratch.keep("rows", "named")
     return rows.join(named, F.col("fp") == F.col("cfp")).select(
         "doc_id", "tag", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -361,7 +362,9 @@ def similar_groups(
     one, two = _twice(classes.select("cid", "size", *bits))
     stars = stars.join(one, F.col("a") == F.col("cid1")).join(two, F.col("b") == F.col("cid2")).where(room(similarity, bits)).select("a", "b")
     starred = scratch.stage(verified(scratch.stage(stars, "stars_pairs"), source, rows, classes, words, similarity, seed, scratch, "stars"), "starred")
-    part = scratch.stage(connected_components(starred, Scratch(spark, "stars")), "part")
+    links_of_stars = Scratch(spark, "stars")
+    part = scratch.stage(connected_components(starred, links_of_stars), "part")
+    links_of_stars.drop()
 
     placed = scratch.stage(
         crowd.join(part, F.col("cid") == F.col("node"), "left").select("item", "cid", "pos", F.coalesce("root", "cid").alias("root")),
@@ -392,6 +395,7 @@ def similar_groups(
     named = scratch.stage(
         joined.join(heads, F.col("root") == F.col("r")).select(F.col("cid").alias("named_cid"), "component_id"), "named"
     )
+    scratch.keep("rows", "named")
     return rows.join(named, F.col("cid") == F.col("named_cid")).select("doc_id", "tag", "component_id")
 
 
@@ -403,6 +407,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "similar")
     groups = similar_groups(docs, id_col, text_col, scratch=scratch, **how)
     gone = scratch.stage(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tag").distinct(), "gone")
+    scratch.keep("gone")
     return without_rows(docs, {"doc_id": F.col(id_col), "tag": F.xxhash64(F.col(text_col))}, gone)
 
 

@@ -294,6 +294,7 @@ def archive_pages(
     )
     # written, so that Spark knows the sizes of both sides before it joins them
     back = scratch.stage(read_archives(runs, folder, scratch), "records")
+    scratch.keep("index", "starts", "records")  # and the archives, which are no table
     return back.join(lines, (F.col("archive") == F.col("i_archive")) & (F.col("offset") == F.col("i_offset"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "index_line", "archive"
     )
