@@ -119,14 +119,23 @@ def cluster_table(spark: SparkSession, members: DataFrame, centroids: np.ndarray
     )
 
 
-def place(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Adds ``ordered_pos``: first position of the cluster plus the rank of the
-    record in it, so no task orders more than one cluster."""
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("record_index")) - 1
-    starts = clusters.select(F.col("cluster_id").alias("c"), "first_position")
+#: Record numbers of one block: a task orders no more records of a cluster at a time.
+BLOCK = 1 << 20
+
+
+def place(members: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Adds ``ordered_pos``: the first position of the cluster, plus its records in
+    earlier blocks of record numbers, plus the rank within the block."""
+    cut = members.withColumn("__block", F.floor(F.col("record_index") / block).cast("bigint"))
+    sizes = cut.groupBy(F.col("cluster_id").alias("c"), F.col("__block").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("c", "b", F.coalesce(earlier, F.lit(0)).alias("before")).join(
+        clusters.select(F.col("cluster_id").alias("k"), "first_position"), F.col("c") == F.col("k")
+    ).select("c", "b", (F.col("before") + F.col("first_position")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("cluster_id", "__block").orderBy("record_index")) - 1
     return (
-        members.withColumn("__rank", rank).join(starts, F.col("cluster_id") == F.col("c"))
-        .withColumn("ordered_pos", F.col("first_position") + F.col("__rank")).drop("__rank", "c", "first_position", "centroid_distance")
+        cut.withColumn("__rank", rank).join(starts, (F.col("cluster_id") == F.col("c")) & (F.col("__block") == F.col("b")))
+        .withColumn("ordered_pos", F.col("start") + F.col("__rank")).drop("__rank", "__block", "c", "b", "start", "centroid_distance")
     )
 
 

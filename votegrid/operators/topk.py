@@ -182,12 +182,11 @@ def blockwise(queries: DataFrame, refs: DataFrame, k: int, filtered: bool, block
     return keep_top(found, k, "record_index")
 
 
-def exact_topk_joined(queries: DataFrame, refs: DataFrame, k: int, filtered: bool = False) -> DataFrame:
-    """The same as one join, for query tables that never leave the cluster; with
-    ``filtered`` the flag lanes are hash keys.  Same rows as :func:`exact_topk`."""
-    q = queries.select("query_id", F.col("vec").alias("q_vec"))
-    r = refs.select("record_index", "label", "vec")
-    pairs = q.join(r, flags_equal("q_vec", "vec")) if filtered else q.join(r, F.lit(True))
+def filtered_topk_joined(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """The filtered search as one hash join on the flag lanes, for query tables that
+    never leave the cluster.  Same rows as :func:`exact_topk` with ``filtered``."""
+    q, r = queries.select("query_id", F.col("vec").alias("q_vec")), refs.select("record_index", "label", "vec")
+    pairs = q.join(r, flags_equal("q_vec", "vec"))
     return keep_top(pairs.select("query_id", "record_index", "label", l2_squared(F.col("q_vec"), F.col("vec")).alias("distance")), k, "record_index")
 
 

@@ -111,7 +111,7 @@ def filtered_topk(spark, d):
 
 
 def filtered_topk_joined(spark, d):
-    return topk.exact_topk_joined(fx.query_vectors(spark, d), fx.references(spark, d), K, filtered=True).select(
+    return topk.filtered_topk_joined(fx.query_vectors(spark, d), fx.references(spark, d), K).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "record_index", "distance"
     )
 
@@ -119,7 +119,7 @@ def filtered_topk_joined(spark, d):
 def topk_in_candidates(spark, d, filtered=False):
     q, r = fx.query_vectors(spark, d), fx.references(spark, d)
     listed = q.select("query_id").join(
-        r.select("record_index"), F.pmod(F.col("query_id") + F.col("record_index"), F.lit(7)) == 0
+        r.select("record_index"), F.pmod(-F.col("query_id"), F.lit(7)) == F.pmod(F.col("record_index"), F.lit(7))
     ).select("query_id", "record_index", (-F.col("record_index")).alias("position"))
     return topk.topk_among(q, r, listed, K, filtered).select("query_id", F.col("rank").cast("bigint").alias("rank"), "record_index", "distance")
 
@@ -171,7 +171,7 @@ def bounding_boxes(spark, d):
 
 def box_lower_bound(spark, d):
     c = _small(spark, d).clusters
-    pairs = fx.query_vectors(spark, d).join(c, F.lit(True))
+    pairs = fx.query_vectors(spark, d).join(F.broadcast(c), F.lit(True))  # as many clusters as SMALL has
     return pairs.select("query_id", F.col("cluster_id").cast("bigint").alias("cluster_id"), box_bound_squared(F.col("vec"), F.col("box_low"), F.col("box_high")).alias("bound"))
 
 

@@ -36,13 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """A folder of staged tables of one operator call.
 
-    The tables must outlive the call, as the returned DataFrame reads them lazily;
-    they go when :func:`purge` is called or the driver ends.
+    Tables that the returned DataFrame reads lazily must outlive the call; they go
+    when :func:`purge` is called or the driver ends.  The others go with :meth:`keep`
+    as soon as all that was made from them is written.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/votegrid-{label}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
         _open.append(self)
 
     def path(self, name: str) -> str:
@@ -51,6 +53,7 @@ class Scratch:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a reader over the written table."""
         df.write.option("compression", "zstd").parquet(self.path(name))
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
@@ -62,6 +65,13 @@ class Scratch:
             _open.remove(self)
 
 
+    def keep(self, *names: str) -> None:
+        """Delete the staged tables of other names."""
+        for name in set(self.names) - set(names):
+            self.drop(name)
+        self.names = [n for n in self.names if n in names]
+
+
 def purge() -> None:
     """Delete every scratch folder of this driver."""
     for scratch in list(_open):
