@@ -201,3 +201,22 @@ def test_similar_groups_against_brute_force(spark):
     want = slow_groups(rows)
     found = {r.doc_id: r.component_id for r in simhash.similar_groups(table(spark, rows)).collect()}
     assert found == want
+
+
+def test_near_stage_meets_by_ball_hashing(spark, monkeypatch):
+    """The stage's candidates come from ball hashing of fingerprints, too."""
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    words = [f"w{k}" for k in range(3_000)]
+    text = draw.choices(words, k=800)
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (3, " ".join(draw.choices(words, k=800)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met, plain = [], simhash.ball_pairs
+    monkeypatch.setattr(simhash, "ball_pairs", lambda *a: met.append(plain(*a)) or met[0])
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and len(met) == 1
+    for _, t in rows:
+        found = simhash.shingle_set(t, 5, 42)
+        ones = [sum(int(x) >> b & 1 for x in found) for b in range(64)]
+        assert simhash.set_fingerprint(found) % (1 << 64) == sum(1 << b for b in range(64) if 2 * ones[b] > len(found))

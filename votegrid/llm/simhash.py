@@ -172,6 +172,24 @@ def set_name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a shingle set, as a signed long; zero if it is empty."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[k : k + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def ball_pairs(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Candidates ``cid, hub`` by ball hashing of the sets' fingerprints: sets of one
+    fingerprint with the first of them, and the first ones of linked fingerprints."""
+    firsts = scratch.stage(classes.groupBy("fp").agg(F.min("cid").alias("first")), "firsts")
+    one, two = _twice(firsts)
+    linked = links(firsts, radius).join(one, F.col("a") == F.col("fp1")).join(two, F.col("b") == F.col("fp2"))
+    same = classes.select("cid", F.col("fp").alias("fp_")).join(firsts, F.col("fp_") == F.col("fp"))
+    return linked.select(F.col("first1").alias("cid"), F.col("first2").alias("hub")).unionByName(same.select("cid", F.col("first").alias("hub")))
+
+
 def frequent(source: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of texts, ascending, and their counts."""
     step = max(1, source.count() // ORDER_DOCS)
@@ -289,8 +307,8 @@ def verified(
 
 
 def set_rows(source: DataFrame, words: int, similarity: float, seed: int, bits: list[str]) -> DataFrame:
-    """``doc_id, tag, cid, size``, and for the first row of a set in its task the
-    prefix ``heads`` and the bitmaps, else null."""
+    """``doc_id, tag, cid, size``, and for the first row of a set in its task its
+    fingerprint ``fp``, the prefix ``heads`` and the bitmaps, else null."""
     order = source.sparkSession.sparkContext.broadcast(frequent(source, words, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,19 +316,20 @@ def set_rows(source: DataFrame, words: int, similarity: float, seed: int, bits:
         for batch in batches:
             found = [shingle_set(x.as_py(), words, seed) for x in batch.column(2)]
             names = [set_name(x) for x in found]
-            heads, odd, wide = [], [], []
+            heads, odd, wide, fps = [], [], [], []
             for x, cid in zip(found, names, strict=True):
                 first = cid not in seen
                 seen.add(cid)
                 heads.append(prefix(x, similarity, *order.value).view(np.int64) if first else None)
                 odd.append(parity(x) if first else [None] * PARITY)
                 wide.append(wide_parity(x) if first else None)
-            columns = [pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
+                fps.append(set_fingerprint(x) if first else None)
+            columns = [pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(fps, pa.int64())]
             columns += [pa.array(x, pa.int64()) for x in (zip(*odd, strict=True) if odd else [()] * PARITY)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "tag", "cid", "size", "heads", "wide", *bits])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "tag", "cid", "size", "heads", "wide", "fp", *bits])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, size long, heads array<long>, wide binary, " + ", ".join(f"{b} long" for b in bits))
+    return source.mapInArrow(run, f"doc_id {kind}, tag long, cid long, size long, heads array<long>, wide binary, fp long, " + ", ".join(f"{b} long" for b in bits))
 
 
 def similar_groups(
@@ -320,12 +339,15 @@ def similar_groups(
     words: int = 5,
     similarity: float = 0.8,
     seed: int = 42,
+    radius: int = 2,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, tag, component_id``; texts link when their
     shingle sets have the Jaccard similarity ``similarity``, exactly.
 
-    Candidates share a shingle of their prefixes.  First each meets, at its shingles,
+    The first candidates meet by ball hashing of their SimHash within ``radius`` bits, as
+    in :func:`near_duplicates`.  At this similarity most pairs differ in more bits, so
+    others share a shingle of their prefixes: each meets, at its shingles,
     the member with most company there (copies of a text gather round it) and the
     smallest, which joins groups of copies without pairing all of them; then all
     candidates still in different components meet, once each, where sizes, places in
@@ -344,7 +366,7 @@ def similar_groups(
     bits = [f"odd{k}_" for k in range(PARITY)]
     rows = scratch.stage(set_rows(source, words, similarity, seed, bits), "rows")
     classes = scratch.stage(
-        rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in bits]), "classes"
+        rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("least_tag"), F.min("size").alias("size"), F.min("fp").alias("fp"), *[F.min(b).alias(b) for b in bits]), "classes"
     )
     # the rows of shared prefix shingles; most shingles are of one text and end here
     met = rows.where("heads is not null").select("cid", F.posexplode("heads").alias("pos", "item"))
@@ -356,7 +378,7 @@ def similar_groups(
     hubs = crowd.join(central, F.col("cid") == F.col("c")).groupBy(F.col("item").alias("at")).agg(F.max_by("cid", "central").alias("hub"))
     stars = (
         crowd.join(hubs, F.col("item") == F.col("at")).select("cid", "hub")
-        .unionByName(crowd.select("cid", F.col("low").alias("hub"))).where("cid <> hub")
+        .unionByName(crowd.select("cid", F.col("low").alias("hub"))).unionByName(ball_pairs(classes, radius, scratch)).where("cid <> hub")
         .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
     )
     one, two = _twice(classes.select("cid", "size", *bits))
